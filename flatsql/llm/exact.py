@@ -18,6 +18,7 @@ from flatsql.llm.common import Scratch, ascii_lower, text_of
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # a store then takes the disk that it fills
 }
 
 
