@@ -51,13 +51,10 @@ class Scratch:
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """df, written as Parquet and read back; shuffle files that nothing refers to are let go."""
         df.write.option("compression", "zstd").parquet(self.path(name), partitionBy=list(partition_by) or None)
+        schema = df.schema
         del df
-        out = self.read(name)
         self.release()
-        return out
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name))
 
     def release(self) -> None:
         """Shuffle files are deleted when the driver collects garbage, which may be long after their last use."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatsql.llm import bpe, chat, decontam, exact, simhash, toxicity, urlfilter
+from flatsql.llm import automaton, bpe, chat, decontam, exact, simhash, suffixarray, toxicity, urlfilter
 from flatsql.llm.common import LOWER, UPPER, table
 
 
@@ -32,6 +32,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = automaton.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", F.col("n").alias("n_words"), _removed().alias("n_removed"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -39,6 +44,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_messages(chat.fold(chat.events_of_rows(rows))))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixarray.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", F.col("n").alias("n_bytes"), _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+def _removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -49,7 +63,9 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_chat": op8_chat,
+    "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -59,7 +75,20 @@ _WORDS10 = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 
+_WORDS6 = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL = {
+    "op6_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS6} AS w FROM documents),
+        s AS (SELECT doc_id, p, list_aggregate(w[p : p + 34], 'string_agg', ' ') AS k
+              FROM (SELECT *, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+        m AS (SELECT s.doc_id, s.p FROM s WHERE md5(k) IN (SELECT md5(k) FROM s GROUP BY md5(k) HAVING count(*) > 1)),
+        r AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM m) GROUP BY doc_id),
+        e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),
+        k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY q) AS kept FROM e LEFT JOIN
+              (SELECT doc_id, unnest(gone) AS q, true AS bad FROM r) g USING (doc_id, q) WHERE bad IS NULL GROUP BY e.doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op8_chat": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
