@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flatsql.llm import automaton, bpe, chat, decontam, exact, simhash, suffixarray, toxicity, urlfilter
+from flatsql.llm import automaton, bpe, chat, decontam, exact, materialise, simhash, suffixarray, toxicity, urlfilter
 from flatsql.llm.common import LOWER, UPPER, table
 
 
@@ -37,6 +37,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_words"), _removed().alias("n_removed"), F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -64,6 +68,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_training_order": op7_training_order,
     "op8_chat": op8_chat,
     "op9_suffix_array": op9_suffix_array,
     "op10_decontamination": op10_decontamination,
