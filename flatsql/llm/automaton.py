@@ -145,7 +145,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, id_col: str = "doc_i
     The reference's texts are gone through in shards of about block_words words; each shard's automaton is
     broadcast and every document streamed through it. Nulls have no words; a text's window crosses no other.
     """
-    words = WordRepeats(length)
+    words = WordRepeats()
     kind = docs.schema[id_col].dataType.simpleString()
     context = docs.sparkSession.sparkContext
 
