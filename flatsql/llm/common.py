@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,7 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.dir = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:8]}"
-        atexit.register(self.drop)
+        atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"
@@ -68,6 +69,10 @@ class Scratch:
         if self.spark.sparkContext._jsc is not None:
             self._delete(self.dir)
 
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            self.drop()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
