@@ -73,8 +73,8 @@ def _near(distance: int) -> Column:
 
 
 def forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the graph that joins fingerprints at `distance` bits or fewer."""
-    left = np.unique(prints)
+    """Links of a spanning forest of the graph that joins fingerprints (int64) at `distance` bits or fewer."""
+    left = np.unique(prints).view(np.uint64)  # the bits of a negative number are not those of its absolute value
     while len(left):
         root, left = left[0], left[1:]
         queue = [root]
@@ -84,7 +84,7 @@ def forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
             if near.any():
                 found, left = left[near], left[~near]
                 queue.extend(found)
-                yield from ((int(at), int(x)) for x in found)
+                yield from ((int(at.view(np.int64)), int(x)) for x in found.view(np.int64))
 
 
 def links(prints: DataFrame, scratch: Scratch, distance: int = 3, bucket: int = BUCKET) -> DataFrame:

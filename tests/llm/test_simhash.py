@@ -82,4 +82,6 @@ def test_groups(spark):
 
 def test_forest():
     a = np.array([0, 1, 3, 7, 1 << 20, (1 << 20) + 1, 1 << 40], np.int64)
-    assert len(list(simhash.forest(a, 1))) == 4
+    assert len(list(simhash.forest(a, 1))) == 6
+    top = np.array([5, 4 - (1 << 63), -(1 << 53) + 5], np.int64)  # bit 63 and one more; the 11 highest bits
+    assert list(simhash.forest(top, 3)) == [(4 - (1 << 63), 5)]
