@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flatsql.errors import QueryError
 from flatsql.sources.csv import read_csv
+from flatsql.sources.parquet import read_parquet
 
 _TEXTS = (".csv", ".tsv", ".txt", ".csv.gz", ".tsv.gz", ".csv.bz2")
 
@@ -28,11 +29,11 @@ class Resolver:
             return self.stdin()
         lower = name.lower()
         if lower.endswith(".parquet"):
-            return self.spark.read.parquet(name)
+            return read_parquet(self.spark, name)
         if lower.endswith(_TEXTS) or (os.path.isfile(name) and not self.base):
             return read_csv(self.spark, name, "\t" if ".tsv" in lower and self.sep == "," else self.sep, self.multiline)
         if self.base and re.fullmatch(r"\w+", name):
-            return self.spark.read.parquet(f"{self.base}/{name}.parquet")
+            return read_parquet(self.spark, f"{self.base}/{name}.parquet")
         if re.fullmatch(r"\w+(\.\w+)*", name) and self.spark.catalog.tableExists(name):
             return self.spark.table(name)
         if "*" in name or "/" in name or os.path.exists(name):
