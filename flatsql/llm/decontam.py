@@ -26,7 +26,7 @@ from flatsql.llm.common import Scratch
 
 WINDOW = 13
 SEGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 #: A-Z to a-z; ASCII but letters and digits parts words, any other character belongs to one.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
