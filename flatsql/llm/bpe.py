@@ -258,10 +258,6 @@ class Encoder:
                 held, total = [], 0
         yield from self._encode(held)
 
-    def count_many(self, texts: Iterable[str | None]) -> Iterator[int]:
-        """Each text's number of ids."""
-        return (len(ids) // 4 for ids in self.encode_many(texts))
-
     def _encode(self, split: list[list[str]]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()

@@ -7,8 +7,7 @@ out in ranges, one range a shard; a shard is its sequences in the order of their
 unsigned 16-bit ids (32-bit ones for larger vocabularies). So slot i stands in shard i // per_shard at byte
 (i % per_shard) * stride, and reading may stop and go on at any slot.
 
-The numbering takes two passes over the documents: the first counts each partition's sequences, the second
-numbers them from its partition's offset, and fails if a partition no longer holds what was counted.
+Sequences are cut once and kept in a table, as slots are known only when all are counted.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -65,75 +65,68 @@ def _count(n_tokens: int, length: int) -> int:
     return -(-(n_tokens + 1) // length)
 
 
-def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
+def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, rounds: int = 3, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
     """Writes the shards and a manifest to out_dir and returns their index, one row for each sequence:
     (slot, shard, offset, doc_id, part, n_tokens, crc32).
 
     n_tokens counts a sequence's ids but the end tokens; part numbers a document's sequences. Null and empty
     texts give one sequence of end tokens. Repeated rows are separate documents. No row: no shard. A shard is
-    written under another name and then renamed, so a task that is run again leaves the same file.
+    written under another name and then renamed, so a task that is run again leaves the same file. out_dir is
+    a folder that all workers share. The shards are written in `rounds` ranges, one after the other, each of
+    which deals out its part of the sequences only.
     """
     scratch = Scratch(docs.sparkSession, "materialise")
     out_dir = (out_dir or scratch.path("shards")).rstrip("/")
     path, pattern = vocabulary or default_vocabulary()
     kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, top = encoder(path, pattern), 0, end
-        for batch in batches:
-            n += sum(_count(x, length) for x in known.count_many(batch.column(1).to_pylist()))
-        top = max(top, len(known.bytes_of) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([top])], names=["pid", "n", "top"])
+    wide = np.dtype("<u2" if max(len(encoder(path, pattern).bytes_of) - 1, end) < 1 << 16 else "<u4")
+    parts = pa.schema([("pid", pa.int64()), ("number", pa.int64()), ("doc_id", arrow_kind), ("part", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
-    counts = rows.mapInArrow(counted, "pid long, n long, top long").collect()  # a row for each partition
-    offsets, total = {}, 0
-    for pid, n, _ in sorted(counts):
-        offsets[pid], total = total, total + n
-    wide = np.dtype("<u2" if max((c["top"] for c in counts), default=end) < 1 << 16 else "<u4")
-    sizes = {c["pid"]: c["n"] for c in counts}
-    order = Permutation(total, key)
-    parts = pa.schema([("slot", pa.int64()), ("doc_id", arrow_kind), ("part", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pid, number = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        stride = length * wide.itemsize
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pid = encoder(path, pattern), TaskContext.get().partitionId()
-        at = first = offsets.get(pid, 0)
-        for batch in batches:
-            ids = zip(batch.column(0).to_pylist(), known.encode_many(batch.column(1).to_pylist()), strict=True)
-
-            def rows(ids=ids) -> Iterator[tuple]:
-                nonlocal at
-                for doc_id, raw in ids:
+        def rows() -> Iterator[tuple]:
+            nonlocal number
+            for batch in batches:
+                for doc_id, raw in zip(batch.column(0).to_pylist(), known.encode_many(batch.column(1).to_pylist()), strict=True):
                     tokens = np.frombuffer(raw, "<u4")
                     n = _count(len(tokens), length)
                     padded = np.full(n * length, end, wide)
                     padded[: len(tokens)] = tokens
-                    whole, stride = padded.tobytes(), length * wide.itemsize
-                    for part, slot in enumerate(order(np.arange(at, at + n)).tolist()):
-                        yield slot, doc_id, part, min(length, len(tokens) - part * length), whole[part * stride : (part + 1) * stride]
-                    at += n
+                    whole = padded.tobytes()
+                    for part in range(n):
+                        yield pid, number, doc_id, part, min(length, len(tokens) - part * length), whole[part * stride : (part + 1) * stride]
+                        number += 1
 
-            yield from batched(rows(), parts, limit=8192)
-        if at - first != sizes.get(pid, 0):
-            raise RuntimeError("a partition's documents changed between the passes: write them to a table first")
+        yield from batched(rows(), parts, limit=8192)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = scratch.write(rows.mapInArrow(cut, f"pid long, number long, doc_id {kind}, part long, n_tokens long, tokens binary"), "sequences")
+    counts = held.groupBy("pid").agg(F.count("*").alias("n")).orderBy("pid").collect()  # a row for each partition
+    offsets, total = {}, 0
+    for pid, n in counts:
+        offsets[pid], total = total, total + n
+    order = Permutation(total, key)
+
+    @F.pandas_udf("long")
+    def slot(pid: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(order(pid.map(offsets).to_numpy(np.int64) + number.to_numpy(np.int64)))
 
-    dealt = rows.mapInArrow(sequences, f"slot long, doc_id {kind}, part long, n_tokens long, tokens binary")
-    shards = max(1, -(-total // per_shard))
-    dealt = dealt.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
     index = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("doc_id", arrow_kind), ("part", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64())])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, stream, base = None, None, out_dir
-        files, root = fs.FileSystem.from_uri(base) if "://" in base or base.startswith("file:") else (fs.LocalFileSystem(), base)
+        files, root = _files(out_dir)
         files.create_dir(root, recursive=True)
         attempt = f"{root}/.attempt-{TaskContext.get().taskAttemptId()}"
+        shard, stream = None, None
 
         def rows() -> Iterator[tuple]:
             nonlocal shard, stream
             expected = None
             for slot, doc_id, part, n, tokens in rows_of(batches, "slot", "doc_id", "part", "n_tokens", "tokens"):
                 if stream is None:
-                    shard, stream, expected = slot // per_shard, files.open_output_stream(attempt), slot
+                    shard, stream, expected = slot // per_shard, files.open_output_stream(attempt), slot // per_shard * per_shard
                 if slot != expected:
                     raise RuntimeError(f"slot {expected} is missing")
                 expected += 1
@@ -145,18 +138,31 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
             stream.close()
             files.move(attempt, f"{root}/shard-{shard:08d}.bin")
 
-    found = scratch.write(dealt.mapInArrow(written, f"slot long, shard long, offset long, doc_id {kind}, part long, n_tokens long, crc32 long"), "index")
+    numbered = held.withColumn("slot", slot("pid", "number")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    shards = max(1, -(-total // per_shard))
+    step = -(-shards // rounds)
+    found = None
+    for first in range(0, shards, step):
+        count = min(step, shards - first)
+        dealt = numbered.where(F.col("shard").between(first, first + count - 1)).repartitionById(count, F.col("shard") - first).sortWithinPartitions("slot")
+        part = scratch.write(dealt.mapInArrow(written, f"slot long, shard long, offset long, doc_id {kind}, part long, n_tokens long, crc32 long"), f"index{first}")
+        found = part if found is None else found.union(part)
+    scratch.remove("sequences")
     if total:
-        files, root = fs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (fs.LocalFileSystem(), out_dir)
+        files, root = _files(out_dir)
         manifest = {"sequences": total, "length": length, "per_shard": per_shard, "bytes_per_id": wide.itemsize, "key": key, "end": end}
         with files.open_output_stream(f"{root}/manifest.json") as out:
             out.write(json.dumps(manifest).encode())
     return found
 
 
+def _files(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder.rstrip("/"))
+
+
 def read(out_dir: str, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, ids) from slot `start` on, each shard read front to back from where it is entered."""
-    files, root = fs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (fs.LocalFileSystem(), out_dir.rstrip("/"))
+    files, root = _files(out_dir)
     with files.open_input_file(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
     stride = m["length"] * m["bytes_per_id"]
