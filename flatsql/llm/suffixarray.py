@@ -212,9 +212,10 @@ def repeated_starts(shards: list[list[bytes]], length: int) -> list[list[np.ndar
 class ByteRepeats(RepeatFinder):
     """Texts as UTF-8 bytes."""
 
-    name, k, most, ranges = "suffixarray", 64, 48, (32, 4, 1)
+    name, k, most, ranges = "suffixarray", 128, 48, (70, 18, 5, 1)
+    batch_bytes = 1 << 19  # sorting takes some 150 bytes of memory for each
 
-    def __init__(self, length: int = LENGTH, k: int = 64, most: int = 48):
+    def __init__(self, length: int = LENGTH, k: int = 128, most: int = 48):
         if length < k:
             raise ValueError("a window must hold an anchor")
         self.length, self.k, self.most = length, k, most
