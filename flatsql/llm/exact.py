@@ -81,15 +81,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each text: that with the largest doc_id. Rows that repeat both stay as one."""
-    marks = exact_duplicates(docs, id_col, text_col)
+    """docs with one row of each text: that with the largest doc_id. Rows that repeat both stay as one.
+
+    The documents are dealt out by digest once, whatever their number, and kept in a table; the texts of hits
+    are compared there.
+    """
     scratch = Scratch(docs.sparkSession, "exact-drop")
-    ids = scratch.write(marks.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_gone")).distinct(), "ids")
-    text = sha256(ascii_lower(text_of(text_col)))
-    same = docs[id_col].eqNullSafe(ids["_id"]) & (text == ids["_sha"])
-    left = docs.join(ids.where("_gone"), same, "left_anti")
-    repeated = ids.where("not _gone")
-    if repeated.isEmpty():
-        return left.select(docs.columns)
-    twice = left.join(repeated, same, "left_semi").withColumn("_sha", text).dropDuplicates([id_col, "_sha"]).select(docs.columns)
-    return left.join(repeated, same, "left_anti").select(docs.columns).union(twice)
+    own = next(p for p in ("_", "__", "___", "____") if not any(c.startswith(p) for c in docs.columns))
+    digest, top, hit, body = (own + x for x in ("digest", "top", "hit", "body"))
+    text = ascii_lower(text_of(text_col))
+    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), sha256(text).alias("digest"), F.monotonically_increasing_id().alias("locator")), "rows")
+    hits = _seen(rows, scratch).where("group_size > 1").select(F.col("digest").alias(digest), F.col("top.doc_id").alias(top), F.lit(1).alias(hit))
+    # A merge join at every size: what is broadcast for small inputs would be dealt out for large ones.
+    marked = docs.withColumn(digest, sha256(text)).join(hits.hint("merge"), digest, "left").withColumn(hit, F.coalesce(hit, F.lit(0)))
+    marked = scratch.write(marked, "marked", partition_by=(hit,))
+    shared = marked.where(F.col(hit) == 1).withColumn(body, text)
+    compared = shared.groupBy(digest).agg(F.min(body).alias("least"), F.max(body).alias("most"))
+    clash = scratch.write(compared.where("least <> most").select(digest), "clash")
+    best = shared.where(F.col(id_col).eqNullSafe(F.col(top)))
+    if not clash.isEmpty():  # different texts of one digest: grouped by the texts themselves
+        both = shared.join(clash, digest, "left_semi")
+        tops = both.groupBy(digest, body).agg(F.max(id_col).alias(top))
+        own_best = both.drop(top).join(tops, [digest, body]).where(F.col(id_col).eqNullSafe(F.col(top)))
+        best = best.join(clash, digest, "left_anti").select(best.columns).union(own_best.select(best.columns))
+    return marked.where(F.col(hit) == 0).select(docs.columns).union(best.dropDuplicates([id_col, digest, body]).select(docs.columns))
