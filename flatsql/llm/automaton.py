@@ -100,9 +100,10 @@ class SuffixAutomaton:
 class WordRepeats(RepeatFinder):
     """Words are runs of bytes other than ASCII white space, unchanged."""
 
-    name, k, most, ranges = "substring", 8, 64, (4, 1)
+    # Anchors of nearly half a window: lines that many documents share are mostly shorter and then no candidates.
+    name, k, most, ranges = "substring", 16, 64, (10, 3, 1)
 
-    def __init__(self, length: int = LENGTH, k: int = 8, most: int = 64):
+    def __init__(self, length: int = LENGTH, k: int = 16, most: int = 64):
         if length < k:
             raise ValueError("a window must hold an anchor")
         self.length, self.k, self.most = length, k, most
