@@ -168,30 +168,30 @@ class RepeatFinder(ABC):
     @abstractmethod
     def concat(self, parts: list) -> Sequence: ...
 
-    def finer(self, segments: DataFrame, size: int) -> DataFrame:
-        """Each segment's windows in ranges of `size` by their distance to the anchor, each range a segment of its own."""
-        names = ["h", "c", "doc_id", "row", "anchor", "first", "content"]
+    def finer(self, pieces: DataFrame, size: int) -> DataFrame:
+        """pieces(h, c, m, at, content) -> each one's windows in ranges of `size` by their distance to the anchor, a piece
+        for each range: (h, c, m, at, content, parent_h, parent_c, shift), shift being its place in its parent."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                schema = batch.schema
 
                 def rows(batch=batch) -> Iterator[tuple]:
-                    for h, _, doc_id, row, anchor, first, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for h, c, m, at, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                         units = self.parts(content)
-                        last = first + len(units) - self.length
-                        for part in range((anchor - last) // size, (anchor - first) // size + 1):
+                        last = len(units) - self.length
+                        for part in range((at - last) // size, at // size + 1):
                             near, far = part * size, part * size + size - 1  # distances of the range's windows
-                            a, b = max(first, anchor - far), min(last, anchor - near)
-                            own = self.join(units[a - first : b - first + self.length])
-                            start = anchor - near - first
-                            common = self.join(units[start : max(start, anchor - far + self.length - first)])
+                            a, b = max(0, at - far), min(last, at - near)
+                            own = self.join(units[a : b + self.length])
+                            start = at - near
+                            common = self.join(units[start : max(start, at - far + self.length)])
                             key = xxhash.xxh3_64_intdigest(common, seed=(h ^ part * 0x9E3779B9) & 0xFFFFFFFFFFFFFFFF)
-                            yield key - (1 << 63), xxhash.xxh3_64_intdigest(own) - (1 << 63), doc_id, row, anchor, a, own
+                            yield key - (1 << 63), xxhash.xxh3_64_intdigest(own) - (1 << 63), m, at - a, own, h, c, a
 
-                yield from batched(rows(), schema, lambda r: 100 + len(r[6]), 4 << 20)
+                yield from batched(rows(), schema, lambda r: 100 + len(r[4]), 4 << 20)
 
-        return segments.select(names).mapInArrow(run, segments.select(names).schema)
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("at", pa.int32()), ("content", pa.binary()), ("parent_h", pa.int64()), ("parent_c", pa.int64()), ("shift", pa.int32())])
+        return pieces.select("h", "c", "m", "at", "content").mapInArrow(run, "h long, c long, m long, at int, content binary, parent_h long, parent_c long, shift int")
 
     def shards(self, pieces: DataFrame) -> DataFrame:
         """pieces(h, c, m, content) -> (h, c, spans): a shard lies together in one partition; whole shards are searched in batches."""
@@ -248,26 +248,32 @@ class RepeatFinder(ABC):
         done = stored.where("kind = 0").select("doc_id", "n", "spans", "kept")
         waiting = stored.where("kind = 1").select("doc_id", "row", "content", "spans")
 
-        segments = stored.where("kind = 2").select("h", "c", "doc_id", "row", "anchor", "first", "content")
-        covered: list[DataFrame] = []
+        segments = stored.where("kind = 2").select("h", "c", "doc_id", "row", (F.col("anchor") - F.col("first")).alias("at"), "first", "content")
+        pieces = segments.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("at").alias("at"), F.first("content").alias("content"))
+        found: list[DataFrame] = []
+        links: list[DataFrame] = []
         for step, size in enumerate([*self.ranges, None]):
-            pieces = segments.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("content").alias("content"))
             pieces = scratch.write(pieces, f"pieces{step}")
             sizes = pieces.groupBy("h").agg(F.count("*").alias("k"))
             large = scratch.write(sizes.where(F.col("k") > self.most).select("h"), f"large{step}")
-            found = scratch.write(self.shards(pieces.join(large, "h", "left_anti")), f"found{step}")
-            places = segments.drop("content").join(found, ["h", "c"])
-            covered.append(places.select("doc_id", "row", F.explode("spans").alias("s"), "first").select("doc_id", "row", (F.col("first") + F.col("s.start")).alias("start"), (F.col("first") + F.col("s.end")).alias("end")))
+            spans = scratch.write(self.shards(pieces.join(large, "h", "left_anti")), f"found{step}")
+            found.append(spans.select("h", "c", F.explode("spans").alias("s")).select("h", "c", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
             if size is None or large.isEmpty():
                 break
-            finer = scratch.write(self.finer(segments.join(large, "h", "left_semi"), size), f"finer{step}")
-            counted = finer.groupBy("h").agg(F.count("*").alias("times"))
-            segments = finer.join(scratch.write(counted.where("times > 1").select("h"), f"finer-groups{step}"), "h", "left_semi")
-
-        spans = covered[0]
-        for x in covered[1:]:
-            spans = spans.union(x)
-        spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("more"))
+            finer = scratch.write(self.finer(pieces.join(large, "h", "left_semi"), size), f"finer{step}")
+            shared = scratch.write(finer.groupBy("h").agg(F.sum("m").alias("times")).where("times > 1").select("h"), f"shared{step}")
+            finer = finer.join(shared, "h", "left_semi")
+            links.append(finer.select("h", "c", "parent_h", "parent_c", "shift"))
+            pieces = finer.groupBy("h", "c").agg(F.sum("m").alias("m"), F.first("at").alias("at"), F.first("content").alias("content"))
+
+        spans = found[-1]
+        for step in range(len(found) - 2, -1, -1):  # what was found in the parts of a piece is found in the piece
+            lifted = links[step].join(spans, ["h", "c"]).select(F.col("parent_h").alias("h"), F.col("parent_c").alias("c"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+            spans = scratch.write(found[step].union(lifted), f"spans{step}")
+        by_piece = scratch.write(spans.groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "by-piece")  # of one passage
+        places = segments.drop("content", "at").join(by_piece, ["h", "c"]).select("doc_id", "row", F.explode("spans").alias("s"), "first")
+        spans = places.select("doc_id", "row", F.struct((F.col("first") + F.col("s.start")).cast("long").alias("start"), (F.col("first") + F.col("s.end")).cast("long").alias("end")).alias("s"))
+        spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("s").alias("more"))
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("doc_id", arrow_kind), ("n", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
