@@ -1,9 +1,12 @@
 """URL filters: rules by host and path, and for the other urls naive Bayes over segmented words.
 
 Concatenated names are split by a unigram model: Viterbi finds the words whose probabilities have the largest
-product. The model's counts come from the words of all pages; they are kept in a count-min sketch of fixed
-size, so that what is sent to the workers does not grow with the vocabulary. The classifier is multinomial
-naive Bayes over hashed words, trained on the urls that the rules judge; its table has a fixed size, too.
+product. The model's counts are those of the words of all pages, exact and in a table that may be of any size:
+urls are cut into blocks of bounded text, the substrings of a block's names are joined with the table, and so a
+worker holds the counts that its block can ask for and no others. A bitmap of fixed size, in which every word
+of the table has a bit, spares the join most substrings that are no words; one that passes by chance is not
+found in the table, so the bitmap's size bears on speed only. The classifier is multinomial naive Bayes over
+hashed words, trained on the urls that the rules judge; its table has a fixed size.
 """
 
 from __future__ import annotations
@@ -17,16 +20,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flatsql.llm.common import ascii_lower
+from flatsql.llm.common import Scratch, ascii_lower, batched
 
 #: The contract's rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-ROWS, WIDTH = 2, 1 << 17
 CLASSES = 1 << 16
 LONGEST = 24
+#: Bits of the words' bitmap, and how many of them a row of it holds.
+BITMAP, BITMAP_ROW = 1 << 24, 1 << 15
+#: A block's distinct names have so many characters or, by one url, more; and so many rows.
+BLOCK_CHARS, BLOCK_ROWS = 1 << 15, 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,16 +54,8 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return found
 
 
-@dataclass(frozen=True)
-class Unigrams:
-    """Counts of words in a count-min sketch: counts[row][bucket]; a count is never under the true one."""
-
-    counts: np.ndarray
-    total: int
-
-    def count(self, word: str) -> int:
-        raw = word.encode()
-        return min(int(self.counts[row][zlib.crc32(b"%d:%b" % (row, raw)) % self.counts.shape[1]]) for row in range(len(self.counts)))
+class _Model:
+    """A unigram model over count(word) and total."""
 
     def log_probability(self, word: str) -> float:
         n = self.count(word) if len(word) <= LONGEST else 0
@@ -75,25 +74,75 @@ class Unigrams:
         return out[::-1]
 
 
-def count_words(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Unigrams:
-    """Counts of the a-z words of LONGEST letters or fewer in all pages: their visible text and their urls' paths."""
+@dataclass(frozen=True)
+class Known(_Model):
+    """The counts of the words that some names can be split into, out of a total of all words."""
+
+    counts: dict[str, int]
+    total: int
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word, 0)
+
+
+@dataclass(frozen=True)
+class Unigrams(_Model):
+    """A caller's own count-min sketch, counts[row][bucket]; no count is under the true one. judge() does not use it."""
+
+    counts: np.ndarray
+    total: int
+
+    def count(self, word: str) -> int:
+        raw = word.encode()
+        return min(int(self.counts[row][zlib.crc32(b"%d:%b" % (row, raw)) % self.counts.shape[1]]) for row in range(len(self.counts)))
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """table(word, n), its words distinct, and the sum of n."""
+
+    table: DataFrame
+    total: int
+
+    def known(self, names: list[str]) -> Known:
+        """What a few names need, looked up at once."""
+        asked = sorted({x for name in names for x in substrings(name)})
+        return Known({r["word"]: r["n"] for r in self.table.where(F.col("word").isin(asked)).collect()} if asked else {}, self.total)
+
+    def count(self, word: str) -> int:
+        return self.known([word]).count(word)
+
+    def segment(self, name: str) -> list[str]:
+        return self.known([name]).segment(name)
+
+    def bitmap(self) -> np.ndarray:
+        """Bytes in which bit (xxhash64 of the word) mod BITMAP is set for every word."""
+        bit = F.xxhash64("word").bitwiseAND(F.lit(BITMAP - 1))
+        rows = self.table.select(F.floor(bit / BITMAP_ROW).alias("row"), (bit % BITMAP_ROW).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        out = np.zeros((BITMAP // BITMAP_ROW, BITMAP_ROW // 8), np.uint8)
+        for row, bits in rows.collect():  # BITMAP / BITMAP_ROW rows at most
+            out[row] = np.frombuffer(bits, np.uint8)
+        return out.reshape(-1)
+
+
+def substrings(name: str) -> Iterator[str]:
+    """All of LONGEST letters or fewer, with repeats."""
+    return (name[s:e] for s in range(len(name)) for e in range(s + 1, min(s + LONGEST, len(name)) + 1))
+
+
+def count_words(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Vocabulary:
+    """Exact counts of the a-z words of LONGEST letters or fewer in all pages: their visible text and their urls' paths."""
     _, path = host_and_path(F.col(url_col))
     text = F.concat_ws(" ", F.regexp_replace(F.coalesce(html_col, F.lit("")), "(?s)<[^>]*>", " "), path)
     words = pages.select(F.explode(F.split(ascii_lower(text), "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    counts = words.groupBy("word").count()
-    cells = counts.select("count", F.posexplode(F.array(*[F.crc32(F.concat(F.lit(f"{row}:"), "word")) % WIDTH for row in range(ROWS)])).alias("row", "cell"))
-    table = np.zeros((ROWS, WIDTH), np.int64)
-    for row, cell, n in cells.groupBy("row", "cell").agg(F.sum("count")).collect():  # ROWS * WIDTH rows at most
-        table[row, cell] = n
-    return Unigrams(table, int(table[0].sum()))
+    counts = Scratch(pages.sparkSession, "urls").write(words.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
+    return Vocabulary(counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
-def url_words(host: str, path: str, unigrams: Unigrams, segment=None) -> list[str]:
-    """The words of a url: its host's labels but the last two, split into words, and its path's letters, likewise."""
-    segment = segment or unigrams.segment
+def names_of(host: str, path: str) -> list[str]:
+    """The names of a url: its host's labels but the last two, and its path's letters."""
     labels = host.split(".")
-    names = re.findall(r"[a-z]+", " ".join(labels[:-2] or labels[:1]) + " " + path.translate(_FOLD))
-    return [word for name in names for word in segment(name)]
+    return re.findall(r"[a-z]+", " ".join(labels[:-2] or labels[:1]) + " " + path.translate(_FOLD))
 
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
@@ -110,23 +159,67 @@ class NaiveBayes:
         return self.prior + float(sum(self.weights[zlib.crc32(w.encode()) % len(self.weights)] for w in words))
 
 
-def _words_of(unigrams: Unigrams):
-    split = lru_cache(50_000)(unigrams.segment)
-    return lambda host, path: url_words(host or "", path or "", unigrams, split)
+def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> DataFrame:
+    """rows(page_id, host, path, rule, verdict) with words: the names of the url, each split into words."""
+    spark = rows.sparkSession
+    kept = rows.schema.simpleString()
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, size = [], set(), 0
 
-def train(judged: DataFrame, unigrams: Unigrams) -> NaiveBayes:
-    """judged(host, path, verdict null where no rule fits) -> the classifier, with add-one smoothing."""
-    sent = judged.sparkSession.sparkContext.broadcast(unigrams)  # ROWS * WIDTH counts
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.list_(kind)), pa.array([sorted(names)], pa.list_(pa.string()))], names=["urls", "names"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words_of(sent.value)
         for batch in batches:
-            host, path, verdict = (c.to_pylist() for c in batch.columns)
-            found = [[zlib.crc32(w.encode()) % CLASSES for w in words(h, p)] for h, p in zip(host, path, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(verdict, pa.string()), pa.array(found, pa.list_(pa.int32()))], names=["verdict", "cells"])
+            kind = pa.struct(list(batch.schema))
+            for row in batch.to_pylist():
+                held.append(row)
+                fresh = set(names_of(row["host"] or "", row["path"] or "")) - names
+                names |= fresh
+                size += sum(map(len, fresh))
+                if size >= BLOCK_CHARS or len(held) >= BLOCK_ROWS:
+                    yield block()
+                    held, names, size = [], set(), 0
+        if held:
+            yield block()
+
+    blocks = rows.mapInArrow(cut, f"urls array<{kept}>, names array<string>").withColumn("block", F.monotonically_increasing_id())
+    blocks = scratch.write(blocks, "blocks")
+    bitmap = spark.sparkContext.broadcast(vocabulary.bitmap())  # of fixed size
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value.tobytes()
+
+        def passed(word: str) -> bool:
+            bit = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & (BITMAP - 1)
+            return bits[bit >> 3] >> (bit & 7) & 1 == 1
+
+        found = ((block, word) for batch in batches for block, names in zip(*(c.to_pylist() for c in batch.columns), strict=True) for word in {x for name in names for x in substrings(name)} if passed(word))
+        yield from batched(found, pa.schema([("block", pa.int64()), ("word", pa.string())]))
+
+    asked = blocks.select("block", "names").mapInArrow(candidates, "block long, word string")
+    # A merge join at every size: no table of words is sent to all workers.
+    found = asked.join(vocabulary.table.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    both = blocks.select("block", "urls").join(found.hint("merge"), "block", "left").select("urls", F.col("known.word").alias("known"), F.col("known.n").alias("counts"))
+    total, names = vocabulary.total, rows.columns
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                urls, known, counts = (batch.column(c).slice(i, 1) for c in range(3))
+                model = Known(dict(zip(known.to_pylist()[0] or (), counts.to_pylist()[0] or (), strict=True)), total)
+                parts = lru_cache(None)(model.segment)
+                urls = urls.flatten()
+                words = [[w for name in names_of(x["host"] or "", x["path"] or "") for w in parts(name)] for x in urls.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*urls.flatten(), pa.array(words, pa.list_(pa.string()))], names=[*names, "words"])
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return scratch.write(both.mapInArrow(split, f"{columns}, words array<string>"), "segmented")
+
 
-    known = judged.where("verdict is not null").select("host", "path", "verdict").mapInArrow(run, "verdict string, cells array<int>")
+def train(judged: DataFrame) -> NaiveBayes:
+    """judged(words, verdict null where no rule fits) -> the classifier, with add-one smoothing."""
+    known = judged.where("verdict is not null").select("verdict", F.transform("words", lambda w: (F.crc32(w) % CLASSES).cast("int")).alias("cells"))
     cells = known.select("verdict", F.explode(F.concat(F.array(F.lit(-1)), "cells")).alias("cell")).groupBy("cell").agg(F.sum((F.col("verdict") == "block").cast("long")), F.sum((F.col("verdict") == "allow").cast("long")))
     table = np.zeros((2, CLASSES + 1))
     for cell, block, allow in cells.collect():  # CLASSES + 1 rows at most
@@ -145,16 +238,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "found.rule", "found.verdict")
-    unigrams = count_words(pages, url_col, html_col)
-    model = train(rows, unigrams)
-    sent = pages.sparkSession.sparkContext.broadcast((unigrams, model))  # both of fixed size
+    rows = segmented(rows, count_words(pages, url_col, html_col), Scratch(pages.sparkSession, "urls"))
+    model = train(rows)
+    sent = pages.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigrams, model = sent.value
-        words = _words_of(unigrams)
         for batch in batches:
-            ids, host, path, rule, verdict = batch.columns
-            odds = [model.log_odds(words(h, p)) for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True)]
+            ids, host, path, rule, verdict, words = batch.columns
+            odds = [sent.value.log_odds(x) for x in words.to_pylist()]
             said = [v or ("block" if x > 0 else "allow") for v, x in zip(verdict.to_pylist(), odds, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, host, path, rule, pa.array(said, pa.string()), pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "log_odds"])
 

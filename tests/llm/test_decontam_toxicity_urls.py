@@ -101,3 +101,28 @@ def test_segmentation_against_brute_force():
 
     for s in ("abc", "aabbc", "cab", "bcabca", "xyz"):
         assert abs(sum(map(unigrams.log_probability, unigrams.segment(s))) - best(s)) < 1e-9
+
+
+def test_words_are_counted_exactly(spark):
+    import zlib
+    from itertools import product
+
+    from flatsql.llm.common import Scratch
+
+    cells = {}  # two words that share both cells of a sketch of 2 x 2^17 crc32 values
+    for letters in product("abcdefghij", repeat=7):
+        word = "".join(letters)
+        other = cells.setdefault(tuple(zlib.crc32(f"{row}:{word}".encode()) % (1 << 17) for row in (0, 1)), word)
+        if other != word:
+            break
+    rows = [(n, f"http://{word}{other}.blog.example.com/{'spamfarm' * n}", f"<p>spam farm {word}</p>") for n in range(9)]
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string").repartition(3)
+    found = urlfilter.count_words(pages)
+    assert found.count(word) == 9 and found.count(other) == 0
+    assert found.segment(word) == [word]
+    host, path = urlfilter.host_and_path(pages.url)
+    nothing = urlfilter.F.lit(None).cast("string")
+    got = urlfilter.segmented(pages.select("page_id", host.alias("host"), path.alias("path"), nothing.alias("rule"), nothing.alias("verdict")), found, Scratch(spark, "test")).collect()
+    assert len(got) == 10
+    for r in got:
+        assert list(r.words) == [w for name in urlfilter.names_of(r.host, r.path) for w in found.segment(name)]
