@@ -12,7 +12,6 @@ hashed words, trained on the urls that the rules judge; its table has a fixed si
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +29,8 @@ from flatsql.llm.common import Scratch, ascii_lower, batched
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 CLASSES = 1 << 16
 LONGEST = 24
+#: What parts words, for Java.
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
 #: Bits of the words' bitmap, and how many of them a row of it holds.
 BITMAP, BITMAP_ROW = 1 << 24, 1 << 15
 #: A block's distinct names have so many characters or, by one url, more; and so many rows.
@@ -131,21 +132,24 @@ def substrings(name: str) -> Iterator[str]:
 
 
 def count_words(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Vocabulary:
-    """Exact counts of the a-z words of LONGEST letters or fewer in all pages: their visible text and their urls' paths."""
+    """Exact counts of the words of LONGEST characters or fewer in all pages: their visible text and their urls' paths.
+
+    Words are runs of letters, marks and digits of any script, lower-cased.
+    """
     _, path = host_and_path(F.col(url_col))
     text = F.concat_ws(" ", F.regexp_replace(F.coalesce(html_col, F.lit("")), "(?s)<[^>]*>", " "), path)
-    words = pages.select(F.explode(F.split(ascii_lower(text), "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST))
+    words = pages.select(F.explode(F.split(F.lower(text), NO_WORD)).alias("word")).where(F.length("word").between(1, LONGEST))
     counts = Scratch(pages.sparkSession, "urls").write(words.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
     return Vocabulary(counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
-def names_of(host: str, path: str) -> list[str]:
-    """The names of a url: its host's labels but the last two, and its path's letters."""
-    labels = host.split(".")
-    return re.findall(r"[a-z]+", " ".join(labels[:-2] or labels[:1]) + " " + path.translate(_FOLD))
+def names_of(host: Column, path: Column) -> Column:
+    """The names of a url, in order, as runs that may be words of count_words(): all of its host but the top-level domain, and its path.
 
-
-_FOLD = {c: c + 32 for c in range(65, 91)}
+    The last of several labels is the top-level domain if it starts with no digit; so numeric addresses keep all.
+    """
+    below = F.regexp_replace(host, r"\.[^.0-9][^.]*$", "")
+    return F.filter(F.split(F.lower(F.concat_ws(" ", below, path)), NO_WORD), lambda x: x != "")
 
 
 @dataclass(frozen=True)
@@ -162,7 +166,8 @@ class NaiveBayes:
 def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> DataFrame:
     """rows(page_id, host, path, rule, verdict) with words: the names of the url, each split into words."""
     spark = rows.sparkSession
-    kept = rows.schema.simpleString()
+    named = rows.withColumn("names", names_of(F.col("host"), F.col("path")))
+    kept = named.schema.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names, size = [], set(), 0
@@ -174,7 +179,7 @@ def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> Data
             kind = pa.struct(list(batch.schema))
             for row in batch.to_pylist():
                 held.append(row)
-                fresh = set(names_of(row["host"] or "", row["path"] or "")) - names
+                fresh = set(row["names"]) - names
                 names |= fresh
                 size += sum(map(len, fresh))
                 if size >= BLOCK_CHARS or len(held) >= BLOCK_ROWS:
@@ -183,7 +188,7 @@ def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> Data
         if held:
             yield block()
 
-    blocks = rows.mapInArrow(cut, f"urls array<{kept}>, names array<string>").withColumn("block", F.monotonically_increasing_id())
+    blocks = named.mapInArrow(cut, f"urls array<{kept}>, names array<string>").withColumn("block", F.monotonically_increasing_id())
     blocks = scratch.write(blocks, "blocks")
     bitmap = spark.sparkContext.broadcast(vocabulary.bitmap())  # of fixed size
 
@@ -201,7 +206,7 @@ def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> Data
     # A merge join at every size: no table of words is sent to all workers.
     found = asked.join(vocabulary.table.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     both = blocks.select("block", "urls").join(found.hint("merge"), "block", "left").select("urls", F.col("known.word").alias("known"), F.col("known.n").alias("counts"))
-    total, names = vocabulary.total, rows.columns
+    total, columns = vocabulary.total, rows.columns
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +215,12 @@ def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> Data
                 model = Known(dict(zip(known.to_pylist()[0] or (), counts.to_pylist()[0] or (), strict=True)), total)
                 parts = lru_cache(None)(model.segment)
                 urls = urls.flatten()
-                words = [[w for name in names_of(x["host"] or "", x["path"] or "") for w in parts(name)] for x in urls.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*urls.flatten(), pa.array(words, pa.list_(pa.string()))], names=[*names, "words"])
+                *plain, names = urls.flatten()
+                words = [[w for name in x for w in parts(name)] for x in names.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*plain, pa.array(words, pa.list_(pa.string()))], names=[*columns, "words"])
 
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return scratch.write(both.mapInArrow(split, f"{columns}, words array<string>"), "segmented")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return scratch.write(both.mapInArrow(split, f"{schema}, words array<string>"), "segmented")
 
 
 def train(judged: DataFrame) -> NaiveBayes:

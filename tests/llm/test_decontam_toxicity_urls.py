@@ -125,4 +125,20 @@ def test_words_are_counted_exactly(spark):
     got = urlfilter.segmented(pages.select("page_id", host.alias("host"), path.alias("path"), nothing.alias("rule"), nothing.alias("verdict")), found, Scratch(spark, "test")).collect()
     assert len(got) == 10
     for r in got:
-        assert list(r.words) == [w for name in urlfilter.names_of(r.host, r.path) for w in found.segment(name)]
+        names = (r.host.removesuffix(".example.com") + " " + r.path.strip("/")).replace(".", " ").split()
+        assert "".join(r.words).startswith("".join(names[:1])) and all("".join(found.segment(n)) == n for n in names)
+        assert [w for n in names for w in found.segment(n)] == [w for w in r.words if w != "example"]
+
+
+def test_all_labels_below_the_top_level_are_judged(spark):
+    from flatsql.llm.common import Scratch
+
+    urls = ["http://www.cheapcasino.com/", "http://cheapcasino.com/", "http://m.cheapcasino.com:80/Bücher7", "http://größe.de", "http://10.0.2.7/x", "localhost", "http://localhost"]
+    pages = spark.createDataFrame([(n, u, "cheap casino bücher größe") for n, u in enumerate(urls)], "page_id long, url string, html string")
+    host, path = urlfilter.host_and_path(pages.url)
+    nothing = urlfilter.F.lit(None).cast("string")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), nothing.alias("rule"), nothing.alias("verdict"))
+    got = {r.page_id: list(r.words) for r in urlfilter.segmented(rows, urlfilter.count_words(pages), Scratch(spark, "test")).collect()}
+    assert got[0] == ["www", "cheap", "casino"] and got[1] == ["cheap", "casino"]
+    assert got[2] in (["m", "cheap", "casino", "bücher7"], ["m", "cheap", "casino", "bücher", "7"])
+    assert got[3] == ["größe"] and got[4] == ["10", "0", "2", "7", "x"] and got[5] == [] and got[6] == ["localhost"]
