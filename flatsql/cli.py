@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--schema", metavar="FILE", help="show the columns of a file and their types")
     p.add_argument("--no-header", action="store_true", help="leave the header out of CSV")
     p.add_argument("-d", "--delimiter", default=",", help=r"one character, or \t")
-    p.add_argument("--multiline", action="store_true", help="quoted fields may hold line breaks, in inputs of any size")
+    p.add_argument("--multiline", action=argparse.BooleanOptionalAction, help="quoted fields may, or may not, hold line breaks; neither: look for them")
     form = p.add_mutually_exclusive_group()
     form.add_argument("--json", action="store_true")
     form.add_argument("--jsonl", action="store_true")
@@ -49,7 +49,7 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, out: Te
         return serve(stdin, out)
     try:
         sep = delimiter(args.delimiter)
-        engine = Engine(sep=sep, multiline=args.multiline or None)
+        engine = Engine(sep=sep, multiline=args.multiline)
         engine.resolver.stdin = lambda: read_lines(engine.spark, stdin, sep)
         if args.schema:
             _schema(engine, args.schema, out)

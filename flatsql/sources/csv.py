@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from flatsql.errors import QueryError
 
 _ESCAPES = {r"\t": "\t", r"\n": "\n", r"\r": "\r", r"\|": "|", r"\;": ";"}
-#: Files up to this size are looked through for line breaks inside quotes.
-LOOKED_THROUGH = 8 << 20
 
 
 def delimiter(text: str) -> str:
@@ -43,7 +41,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool | N
     """A file, folder or pattern. Short rows are filled, long ones cut, blank lines skipped.
 
     multiline: whether quoted fields may hold line breaks, at the price of files that are not split. None looks
-    for it in inputs of LOOKED_THROUGH bytes or fewer and else takes it that they do not.
+    for lines with an odd number of quotes in the whole input, in one distributed scan; False takes it that they do not.
     """
     sep = delimiter(sep)
     lines = spark.read.text(path)
@@ -52,8 +50,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool | N
         raise QueryError(f"{path} is empty")
     schema = _schema(next(csv.reader([first], delimiter=sep)), path)
     if multiline is None:
-        size = lines.select(F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_path").alias("p")).limit(1).collect()
-        multiline = bool(size) and size[0]["n"] <= LOOKED_THROUGH and _breaks_in_quotes(lines)
+        multiline = _breaks_in_quotes(lines)
     df = spark.read.schema(schema).csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1)
     return _filled(df)
 

@@ -17,10 +17,13 @@ from flatsql.plans.parser import parse
 from flatsql.sources.csv import delimiter
 
 
-def csv_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",", files_per_trigger: int | None = None) -> DataFrame:
-    """CSV files as they arrive in a folder, as text columns; missing values are empty."""
+def csv_stream(spark: SparkSession, folder: str, columns: list[str], sep: str = ",", files_per_trigger: int | None = None, multiline: bool = True) -> DataFrame:
+    """CSV files as they arrive in a folder, as text columns; missing values are empty.
+
+    multiline False splits large files and takes it that quoted fields hold no line breaks.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.schema(schema).options(header=True, sep=delimiter(sep), quote='"', escape='"', mode="PERMISSIVE")
+    reader = spark.readStream.schema(schema).options(header=True, sep=delimiter(sep), quote='"', escape='"', mode="PERMISSIVE", multiLine=multiline)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.csv(folder).fillna("")

@@ -98,3 +98,22 @@ def test_streams(spark, tmp_path):
         query = start(Engine(spark), sql, source, f"stream_{name}", checkpoint=f"{tmp_path}/{name}")
         query.awaitTermination(120)
         assert {tuple(r) for r in spark.table(f"stream_{name}").collect()} == rows
+
+
+def test_quoted_line_breaks_at_every_size(spark, tmp_path):
+    from flatsql.sources.csv import read_csv
+
+    folder = tmp_path / "large"
+    folder.mkdir()
+    with open(folder / "b.csv", "w") as file:
+        file.write("k,v\n" + f"a,{'x' * 990}\n" * 9000 + 'b,"one\ntwo"\n')
+    (folder / "a.csv").write_text("k,v\nc,d\n")
+    for path, rows in ((folder / "b.csv", 9001), (folder, 9002)):
+        df = read_csv(spark, str(path))
+        assert df.count() == rows and df.where("k = 'b'").first()["v"] == "one\ntwo"
+    small = tmp_path / "stream"
+    small.mkdir()
+    (small / "a.csv").write_text('k,v\nb,"one\ntwo"\n')
+    query = csv_stream(spark, str(small), ["k", "v"]).writeStream.format("memory").queryName("breaks").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("breaks").collect()] == [("b", "one\ntwo")]
