@@ -41,9 +41,9 @@ class Block:
 
     window: int
     terms: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], set[str]] = field(default_factory=dict)
+    windows: dict[tuple[int, ...], set[str | None]] = field(default_factory=dict)
 
-    def add(self, item_id: str, text: str | None) -> None:
+    def add(self, item_id: str | None, text: str | None) -> None:
         ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
         for at in range(max(1, len(ids) - self.window + 1) if ids else 0):
             self.windows.setdefault(tuple(ids[at : at + self.window]), set()).add(item_id)
@@ -51,7 +51,7 @@ class Block:
 
 def blocks(items: DataFrame, id_col: str, text_col: str, window: int, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     held, size = Block(window), 0
-    for item_id, text in items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
+    for item_id, text in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         held.add(item_id, text)
         size += len(text or "")
         if size >= limit:
@@ -164,11 +164,11 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
     """
     totals = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # a row for each term of the block
     frequency = {r["terms"]: r["n"] for r in totals}
-    plan: dict[int, list[tuple[tuple[int, ...], list[int], list[str]]]] = {}
+    plan: dict[int, list[tuple[tuple[int, ...], list[int], list[str | None]]]] = {}
     for window, ids in block.windows.items():
         if all(t in frequency for t in window):
             order = sorted(range(len(window)), key=lambda i, w=window: (frequency[w[i]], i))
-            plan.setdefault(window[order[0]], []).append((window, order, sorted(ids)))
+            plan.setdefault(window[order[0]], []).append((window, order, list(ids)))
     sent = index.sparkSession.sparkContext.broadcast(plan)
     kind = index.schema["doc_ids"].dataType.elementType
 
@@ -190,7 +190,7 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
                                 starts[doc].append(s - bases[doc])
                                 ends[doc].append(e - bases[doc])
                                 items[doc].extend(ids)
-                items = [sorted(set(x)) for x in items]
+                items = [sorted(set(x), key=lambda i: (i is None, i or "")) for x in items]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, batch.schema.field(0).type.value_type), *(pa.array(x, t) for x, t in ((rows, pa.int64()), (n_words, pa.int64()), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())), (items, pa.list_(pa.string()))))], names=["doc_id", "row", "n_words", "starts", "ends", "item_ids"])
 
     return index.mapInArrow(run, HITS.format(kind.simpleString()))
@@ -200,7 +200,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, row, n_words, starts, ends, item_ids): one row per row of docs, whatever the number of blocks.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Null texts
-    have no words, items without id are left out, ids are compared as strings.
+    have no words. Ids are compared as strings; items without id are one item, whose id is null and comes last.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     gap = window + (slop or 0)
@@ -232,14 +232,14 @@ def covered(starts: list[int], ends: list[int]) -> int:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: float = 0.05) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row): one row per row of docs.
 
-    n_hit counts words inside any match. contaminated: some word is hit, and at least `share` of all words.
+    n_hit counts words inside any match. n_items counts all items without id as one, items_sha256 leaves it out. contaminated: some word is hit, and at least `share` of all words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, starts, ends, items = (batch.column(i).to_pylist() for i in range(2, 6))
             hit = [covered(s, e) for s, e in zip(starts, ends, strict=True)]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+            sha = [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -142,3 +142,17 @@ def test_all_labels_below_the_top_level_are_judged(spark):
     assert got[0] == ["www", "cheap", "casino"] and got[1] == ["cheap", "casino"]
     assert got[2] in (["m", "cheap", "casino", "bücher7"], ["m", "cheap", "casino", "bücher", "7"])
     assert got[3] == ["größe"] and got[4] == ["10", "0", "2", "7", "x"] and got[5] == [] and got[6] == ["localhost"]
+
+
+def test_items_without_id_are_searched(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "a b c d x"), (2, "e f g h"), (3, "y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d"), (None, "e f g h"), ("i", "a b c d"), ("j", "q q q q")], "item_id string, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, items, window=4).collect()}
+    assert got == {1: (4, 2, sha("i"), True), 2: (4, 1, sha(""), True), 3: (0, 0, sha(""), False)}
+    for block_bytes in (1 << 20, 5):
+        found = {r.doc_id: (r.item_ids, decontam.covered(r.starts, r.ends)) for r in decontam.matches(docs, items, window=4, block_bytes=block_bytes).collect()}
+        assert found == {1: (["i", None], 4), 2: ([None], 4), 3: ([], 0)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
