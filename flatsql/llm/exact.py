@@ -1,9 +1,9 @@
 """Exact deduplication as a stateful stream, in DataFrame operations only.
 
 A streaming aggregation without watermark keeps, in RocksDB, one entry for each digest and never expires it:
-the digest, the largest identifier, that row's locator and the number of rows. Feeding later tables to the
-same state continues where the last run ended. Rows whose digest was seen before are hits; the whole texts
-of hits are compared, so a collision of digests cannot merge different texts.
+the digest, the largest identifier, that row's locator and the number of rows. The state is that of one call
+and one table: it is made anew by each, and a later table cannot go on from it. Rows whose digest was seen
+before are hits; the whole texts of hits are compared, so a collision of digests cannot merge different texts.
 """
 
 from __future__ import annotations
