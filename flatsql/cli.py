@@ -14,9 +14,6 @@ from flatsql.sinks.table import render_table
 from flatsql.sinks.text import rows_as_text, to_csv, to_json, to_jsonl
 from flatsql.sources.csv import delimiter, read_lines
 
-#: A table shows so many rows at most; it is for looking at.
-TABLE_ROWS = 10_000
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("flatsql", description=__doc__)
@@ -61,7 +58,7 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, out: Te
         elif args.jsonl:
             to_jsonl(df, out)
         elif args.table or (not args.no_table and not args.no_header and out.isatty()):
-            rows = list(rows_as_text(df.limit(TABLE_ROWS)))
+            rows = list(rows_as_text(df))
             out.write(render_table(df.columns, rows, args.table or "unicode", wrap=args.wrap))
         else:
             to_csv(df, out, not args.no_header, sep)

@@ -117,3 +117,9 @@ def test_quoted_line_breaks_at_every_size(spark, tmp_path):
     query = csv_stream(spark, str(small), ["k", "v"]).writeStream.format("memory").queryName("breaks").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("breaks").collect()] == [("b", "one\ntwo")]
+
+
+def test_tables_show_all_rows(spark, tmp_path):
+    (tmp_path / "many.csv").write_text("n\n" + "".join(f"{n}\n" for n in range(10_050)))
+    code, out = run(f"SELECT n FROM '{tmp_path / 'many.csv'}'", "--table", "none")[:2]
+    assert code == 0 and "10049" in out and sum(x.strip().isdigit() for x in out.splitlines()) == 10_050
