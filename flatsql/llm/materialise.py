@@ -17,16 +17,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flatsql.llm.bpe import default_vocabulary, encoder
-from flatsql.llm.common import Scratch, batched, rows_of
+from flatsql.llm.bpe import default_vocabulary, encoder, ranges, slices
+from flatsql.llm.common import Scratch
 
 LENGTH = 256
 PER_SHARD = 16384
@@ -61,8 +60,20 @@ class Permutation:
         return out.astype(np.int64)
 
 
-def _count(n_tokens: int, length: int) -> int:
-    return -(-(n_tokens + 1) // length)
+#: Sequences of a record batch.
+BATCH = 8192
+
+
+def sequences(raws: list[bytes], length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' ids, each closed by `end` and filled up with it to whole sequences: the sequences (one a row),
+    each document's number of them, and of every sequence how many ids are not `end`."""
+    size = np.fromiter((len(raw) // 4 for raw in raws), np.int64, len(raws))
+    count = -(-(size + 1) // length)
+    first = np.cumsum(count) - count
+    out = np.full(int(count.sum()) * length, end, kind)
+    out[ranges(first * length, size)] = np.frombuffer(b"".join(raws), "<u4")
+    part = np.arange(len(out) // length) - np.repeat(first, count)
+    return out.reshape(-1, length), count, np.clip(np.repeat(size, count) - part * length, 0, length)
 
 
 def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, rounds: int = 3, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
@@ -75,93 +86,112 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
     a folder that all workers share. The shards are written in `rounds` ranges, one after the other, each of
     which deals out its part of the sequences only.
     """
-    scratch = Scratch(docs.sparkSession, "materialise")
-    out_dir = (out_dir or scratch.path("shards")).rstrip("/")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "materialise")
+    out_dir = _qualified(spark, out_dir or scratch.path("shards"))
     path, pattern = vocabulary or default_vocabulary()
     kind, arrow_kind = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     wide = np.dtype("<u2" if max(len(encoder(path, pattern).bytes_of) - 1, end) < 1 << 16 else "<u4")
-    parts = pa.schema([("pid", pa.int64()), ("number", pa.int64()), ("doc_id", arrow_kind), ("part", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+    stride = length * wide.itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pid, number = encoder(path, pattern), TaskContext.get().partitionId(), 0
-        stride = length * wide.itemsize
-
-        def rows() -> Iterator[tuple]:
-            nonlocal number
-            for batch in batches:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), known.encode_many(batch.column(1).to_pylist()), strict=True):
-                    tokens = np.frombuffer(raw, "<u4")
-                    n = _count(len(tokens), length)
-                    padded = np.full(n * length, end, wide)
-                    padded[: len(tokens)] = tokens
-                    whole = padded.tobytes()
-                    for part in range(n):
-                        yield pid, number, doc_id, part, min(length, len(tokens) - part * length), whole[part * stride : (part + 1) * stride]
-                        number += 1
-
-        yield from batched(rows(), parts, limit=8192)
+        for batch in slices(batches):
+            whole, count, n_tokens = sequences(list(known.encode_many(batch.column(1).to_pylist())), length, end, wide)
+            doc = np.repeat(np.arange(len(count)), count)
+            part = np.arange(len(whole)) - np.repeat(np.cumsum(count) - count, count)
+            for at in range(0, len(whole), BATCH):
+                own = whole[at : at + BATCH]
+                offsets = np.arange(len(own) + 1, dtype=np.int32) * stride
+                tokens = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(own.tobytes())])
+                here = slice(at, at + len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), pid, np.int64)), pa.array(np.arange(number, number + len(own))), batch.column(0).take(pa.array(doc[here])), pa.array(part[here]), pa.array(n_tokens[here]), tokens], names=["pid", "number", "doc_id", "part", "n_tokens", "tokens"])
+                number += len(own)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = scratch.write(rows.mapInArrow(cut, f"pid long, number long, doc_id {kind}, part long, n_tokens long, tokens binary"), "sequences")
     counts = held.groupBy("pid").agg(F.count("*").alias("n")).orderBy("pid").collect()  # a row for each partition
-    offsets, total = {}, 0
-    for pid, n in counts:
-        offsets[pid], total = total, total + n
+    pids = np.array([r["pid"] for r in counts], np.int64)
+    offsets = np.cumsum([0, *(r["n"] for r in counts)])
+    total = int(offsets[-1])
     order = Permutation(total, key)
 
-    @F.pandas_udf("long")
-    def slot(pid: pd.Series, number: pd.Series) -> pd.Series:
-        return pd.Series(order(pid.map(offsets).to_numpy(np.int64) + number.to_numpy(np.int64)))
+    def numbered(lo: int, hi: int) -> DataFrame:
+        """The sequences whose slots are from lo to below hi, with slot and shard."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pid, number = (batch.column(i).to_numpy() for i in range(2))
+                slot = order(offsets[np.searchsorted(pids, pid)] + number)
+                here = np.flatnonzero((slot >= lo) & (slot < hi))
+                if len(here):
+                    own = [pa.array(slot[here]), pa.array((slot[here] // per_shard - lo // per_shard).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*own, *(batch.column(i).take(pa.array(here)) for i in range(2, 6))], names=["slot", "shard", "doc_id", "part", "n_tokens", "tokens"])
 
-    index = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("offset", pa.int64()), ("doc_id", arrow_kind), ("part", pa.int64()), ("n_tokens", pa.int64()), ("crc32", pa.int64())])
+        return held.mapInArrow(run, f"slot long, shard int, doc_id {kind}, part long, n_tokens long, tokens binary")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(out_dir)
         files.create_dir(root, recursive=True)
-        attempt = f"{root}/.attempt-{TaskContext.get().taskAttemptId()}"
-        shard, stream = None, None
-
-        def rows() -> Iterator[tuple]:
-            nonlocal shard, stream
-            expected = None
-            for slot, doc_id, part, n, tokens in rows_of(batches, "slot", "doc_id", "part", "n_tokens", "tokens"):
-                if stream is None:
-                    shard, stream, expected = slot // per_shard, files.open_output_stream(attempt), slot // per_shard * per_shard
-                if slot != expected:
-                    raise RuntimeError(f"slot {expected} is missing")
-                expected += 1
-                stream.write(tokens)
-                yield slot, shard, slot % per_shard * len(tokens), doc_id, part, n, zlib.crc32(tokens)
-
-        yield from batched(rows(), index)
+        attempt = f"{root}/{ATTEMPT}{TaskContext.get().taskAttemptId()}"
+        stream = expected = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot, tokens = batch.column(0).to_numpy(), batch.column(4)
+            if stream is None:
+                expected = int(slot[0]) // per_shard * per_shard
+                shard, stream = expected // per_shard, files.open_output_stream(attempt)
+            if (slot != np.arange(expected, expected + len(slot))).any():
+                raise RuntimeError(f"a slot from {expected} on is missing")
+            expected += len(slot)
+            raw = memoryview(tokens.buffers()[2])[tokens.offset * stride : (tokens.offset + len(tokens)) * stride]
+            stream.write(raw)
+            crc = np.fromiter((zlib.crc32(raw[at : at + stride]) for at in range(0, len(raw), stride)), np.int64, len(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(slot), shard)), pa.array(slot % per_shard * stride), *(batch.column(i) for i in (1, 2, 3)), pa.array(crc)], names=["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])
         if stream is not None:
             stream.close()
             files.move(attempt, f"{root}/shard-{shard:08d}.bin")
 
-    numbered = held.withColumn("slot", slot("pid", "number")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     shards = max(1, -(-total // per_shard))
     step = -(-shards // rounds)
     found = None
     for first in range(0, shards, step):
         count = min(step, shards - first)
-        dealt = numbered.where(F.col("shard").between(first, first + count - 1)).repartitionById(count, F.col("shard") - first).sortWithinPartitions("slot")
+        dealt = numbered(first * per_shard, (first + count) * per_shard).repartitionById(count, F.col("shard")).drop("shard").sortWithinPartitions("slot")
         part = scratch.write(dealt.mapInArrow(written, f"slot long, shard long, offset long, doc_id {kind}, part long, n_tokens long, crc32 long"), f"index{first}")
         found = part if found is None else found.union(part)
     scratch.remove("sequences")
     if total:
         files, root = _files(out_dir)
+        for left in files.get_file_info(fs.FileSelector(root)):  # of tasks that failed or whose executor was lost
+            if left.base_name.startswith(ATTEMPT):
+                files.delete_file(left.path)
         manifest = {"sequences": total, "length": length, "per_shard": per_shard, "bytes_per_id": wide.itemsize, "key": key, "end": end}
         with files.open_output_stream(f"{root}/manifest.json") as out:
             out.write(json.dumps(manifest).encode())
     return found
 
 
+ATTEMPT = ".attempt-"
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark resolves it, with its scheme: without one it lies on fs.defaultFS, not on a worker's own disk."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _files(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder.rstrip("/"))
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.rstrip("/"))
 
 
 def read(out_dir: str, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from slot `start` on, each shard read front to back from where it is entered."""
+    """(slot, ids) from slot `start` on, each shard read front to back from where it is entered; nothing from the end on.
+
+    out_dir is what materialise() was given, with its scheme where it is not a local folder.
+    """
     files, root = _files(out_dir)
     with files.open_input_file(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
