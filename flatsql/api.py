@@ -56,8 +56,10 @@ def query(sql: str, **options: object) -> list[dict[str, object]]:
     return [row.asDict() for row in Engine(**options).sql(sql).collect()]
 
 
-def query_tuples(sql: str, **options: object) -> list[tuple]:
-    return [tuple(row) for row in Engine(**options).sql(sql).collect()]
+def query_tuples(sql: str, **options: object) -> tuple[list[str], list[tuple]]:
+    """The column names, and the rows as tuples of typed values."""
+    df = Engine(**options).sql(sql)
+    return df.columns, [tuple(row) for row in df.collect()]
 
 
 def query_csv(sql: str, **options: object) -> str:
