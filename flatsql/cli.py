@@ -12,7 +12,7 @@ from flatsql.api import Engine
 from flatsql.errors import QueryError
 from flatsql.sinks.table import render_table
 from flatsql.sinks.text import rows_as_text, to_csv, to_json, to_jsonl
-from flatsql.sources.csv import delimiter, read_lines
+from flatsql.sources.csv import delimiter, read_piped, size_of
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,7 +47,7 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, out: Te
     try:
         sep = delimiter(args.delimiter)
         engine = Engine(sep=sep, multiline=args.multiline)
-        engine.resolver.stdin = lambda: read_lines(engine.spark, stdin, sep)
+        engine.resolver.stdin = lambda: read_piped(engine.spark, stdin, sep, args.multiline)
         if args.schema:
             _schema(engine, args.schema, out)
             return 0
@@ -70,9 +70,16 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, out: Te
     return 1
 
 
+def readable(size: int) -> str:
+    for unit, one in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
+        if size >= one:
+            return f"{size / one:.1f} {unit}"
+    return f"{size} B"
+
+
 def _schema(engine: Engine, path: str, out: TextIO) -> None:
     found = engine.profile(path)
-    out.write(f"File: {path}\nRows: {found[0]['rows'] if found else 0}  |  Columns: {len(found)}\n")
+    out.write(f"File: {path}\nRows: {found[0]['rows'] if found else 0}  |  Columns: {len(found)}  |  Size: {readable(size_of(engine.spark, path))}\n")
     rows = [[str(c["index"] + 1), c["name"], c["type"], str(c["non_empty"]), str(c["empty"])] for c in found]
     out.write(render_table(["#", "Column", "Type", "Non-Empty", "Empty"], rows))
 

@@ -58,7 +58,7 @@ def num(v: Value) -> Column:
 def plain_number(c: Column) -> Column:
     """A double's text: whole values without a decimal point, no exponents where 15 digits do."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    text = F.when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), c.cast("string")).otherwise(F.regexp_replace(F.format_string("%.17f", c), r"0+$", ""))
+    text = F.when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), c.cast("string")).otherwise(F.regexp_replace(F.format_string("%.17f", c), r"\.?0+$", ""))
     precise = F.when(text.try_cast("double") == c, text).otherwise(c.cast("string"))
     return F.when(whole, c.cast("bigint").cast("string")).otherwise(precise)
 

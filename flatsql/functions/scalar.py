@@ -19,6 +19,7 @@ INTEGERS = ("INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT")
 REALS = ("FLOAT", "DOUBLE", "REAL", "NUMERIC", "DECIMAL")
 TEXTS = ("TEXT", "VARCHAR", "CHAR", "STRING", "NVARCHAR")
 
+
 def _constant(arg: object, name: str) -> Literal:
     if not isinstance(arg, Literal):
         raise QueryError(f"{name} takes a literal there")
@@ -58,6 +59,11 @@ def _substr(v: Value, *rest: object) -> Value:
     return Value(F.substring(text, first, size), "text")
 
 
+def to_whole(f: Callable[[Column], Column], x: Column) -> Column:
+    """ceil or floor of a double, as a double; from 2^53 on every one is whole, and more than a bigint holds."""
+    return F.when(F.abs(x) >= float(1 << 53), x).otherwise(f(x).cast("double"))
+
+
 def _mod(v: Value, by: object) -> Value:
     d = _number(by, "MOD")
     if d == 0:
@@ -66,7 +72,7 @@ def _mod(v: Value, by: object) -> Value:
     if v.kind == "int" and isinstance(d, int):
         return Value(((x % d) + d) % d, "int")
     x = x.cast("double")
-    return Value(x - F.floor(x / d) * d, "real")
+    return Value(x - to_whole(F.floor, x / d) * d, "real")
 
 
 def round_to(x: Column, digits: int) -> Column:
@@ -76,7 +82,7 @@ def round_to(x: Column, digits: int) -> Column:
 
 def _round(v: Value, *digits: object) -> Value:
     if not digits:
-        return Value(F.round(num(v).cast("double")).cast("bigint"), "int")
+        return Value(F.round(num(v).cast("double")).try_cast("bigint"), "int")
     return Value(round_to(num(v), min(max(_whole(digits[0], "ROUND"), 0), 9)), "real")
 
 
@@ -140,11 +146,11 @@ def _strftime(form: object, v: object) -> Value:
 
 
 def _ceil(v: Value) -> Value:
-    return Value(F.ceil(num(v)).cast("double"), "real", True)
+    return Value(to_whole(F.ceil, num(v).cast("double")), "real", True)
 
 
 def _floor(v: Value) -> Value:
-    return Value(F.floor(num(v)).cast("double"), "real", True)
+    return Value(to_whole(F.floor, num(v).cast("double")), "real", True)
 
 
 #: Name: function, least and most arguments. Functions of plain values get Value objects; others see literals as such.

@@ -9,6 +9,7 @@ from typing import TextIO
 import flatsql
 from flatsql.api import Engine
 from flatsql.sinks.text import text_of
+from flatsql.sources.csv import hadoop_path
 
 PROTOCOL = "2024-11-05"
 SAMPLE = 5
@@ -43,8 +44,9 @@ def call_tool(engine: Engine, name: str, arguments: dict) -> str:
     if name == "csv_schema":
         return text_of(engine.resolver(_argument(arguments, "file")).limit(SAMPLE), "json")
     if name == "csv_list":
-        with os.scandir(_argument(arguments, "directory", ".")) as found:
-            return json.dumps(sorted(f.name for f in found if f.is_file() and f.name.lower().endswith(".csv")))
+        folder = _argument(arguments, "directory", ".")
+        target, files = hadoop_path(engine.spark, folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        return json.dumps(sorted(f.getPath().getName() for f in files.listStatus(target) if f.isFile() and f.getPath().getName().lower().endswith(".csv")))
     raise _BadParams(f"unknown tool: {name}")
 
 

@@ -15,10 +15,12 @@ class Literal(Expr):
     value: str
 
     def number(self) -> float | int | None:
-        """The value as a number, whether it was quoted or not; None if it is not one."""
+        """The value as a number, whether it was quoted or not; None if it is not one. Whole ones beyond 64 bits are doubles."""
         s = self.value.strip()
         try:
-            return int(s) if s.lstrip("+-").isdigit() and s.isascii() else (float(s) if _NUMBER.fullmatch(s) else None)
+            if s.lstrip("+-").isdigit() and s.isascii():
+                return int(s) if -(1 << 63) <= int(s) < 1 << 63 else float(s)
+            return float(s) if _NUMBER.fullmatch(s) else None
         except ValueError:
             return None
 

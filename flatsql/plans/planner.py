@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flatsql.errors import QueryError
 from flatsql.functions import scalar
-from flatsql.functions.kernel import Value, kind_of, num, txt
+from flatsql.functions.kernel import Value, kind_of, num, ts, txt
 from flatsql.operators import aggregates
 from flatsql.operators.ordering import sort_keys
 from flatsql.operators.predicates import predicate
@@ -77,13 +77,19 @@ def _aggregates(expr: Expr) -> list[Call]:
     return [a for x in _children(expr) for a in _aggregates(x)]
 
 
-def _fold(expr: Expr) -> Expr:
-    """The expression with names in lower case, so that spelling does not tell equal ones apart."""
-    if isinstance(expr, Name):
-        return Name(expr.name.lower(), expr.qualifier and expr.qualifier.lower())
-    if isinstance(expr, Call):
-        return Call(expr.name, tuple(map(_fold, expr.args)), expr.distinct)
-    return expr
+def is_grouped(query: Query) -> bool:
+    return bool(query.group_by or query.having or any(_aggregates(i.expr) for i in query.items))
+
+
+def _renamed(expr: Expr, name: Callable[[Name], Expr]) -> Expr:
+    """The expression with name() in place of each name, however deep it stands."""
+
+    def inner(x: object) -> object:
+        if isinstance(x, Expr):
+            return _renamed(x, name)
+        return tuple(map(inner, x)) if isinstance(x, tuple) else x
+
+    return name(expr) if isinstance(expr, Name) else replace(expr, **{f.name: inner(getattr(expr, f.name)) for f in fields(expr)})
 
 
 class _Planner:
@@ -101,7 +107,7 @@ class _Planner:
                 raise QueryError("aggregates belong in HAVING")
             df = df.where(predicate(q.where, base))
         items = self._expand(scope)
-        grouped = bool(q.group_by or q.having or any(_aggregates(i.expr) for i in items))
+        grouped = is_grouped(q)
         value = base
         if grouped:
             df, value = self._aggregate(df, scope, items)
@@ -136,13 +142,15 @@ class _Planner:
         return df, Scope(fields)
 
     def _condition(self, join: Join, left: Scope, right: Scope) -> Column:
-        """The equality, either side first. Columns of one kind compare as they are, others as text."""
+        """The equality, either side first. Columns of one kind compare as they are, dates and times as times, others as text."""
         a, b = join.left, join.right
         if not (left.has(a) and right.has(b)):
             a, b = b, a
         x, y = left.find(a), right.find(b)
         if x.kind == y.kind or (x.numeric and y.numeric):
             return x.column == y.column
+        if x.temporal and y.temporal:
+            return ts(x) == ts(y)
         return txt(x) == txt(y)
 
     # expressions
@@ -261,14 +269,14 @@ class _Planner:
 
     def _canonical(self, expr: Expr, scope: Scope) -> Expr:
         """Names resolved to their source, so that a, t.a and A are one."""
-        if isinstance(expr, Name):
-            if scope.has(expr):
-                f = scope.field(expr)
+
+        def resolved(name: Name) -> Name:
+            if scope.has(name):
+                f = scope.field(name)
                 return Name(f.name.lower(), f.owner.lower())
-            return _fold(expr)
-        if isinstance(expr, Call):
-            return Call(expr.name, tuple(self._canonical(a, scope) for a in expr.args), expr.distinct)
-        return expr
+            return Name(name.name.lower(), name.qualifier and name.qualifier.lower())
+
+        return _renamed(expr, resolved)
 
     def _outputs_first(self, named: list[tuple[str, Value]], items: list[Item], value: Callable[[Expr], Value]) -> Callable[[Expr], Value]:
         def find(expr: Expr) -> Value:

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flatsql.api import Engine
+from flatsql.sources.csv import spool
+from flatsql.sources.parquet import read_parquet
 
-_SPAN = "SELECT o_orderkey AS k, {0} AS v FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1"
+_SPAN = "SELECT o_orderkey AS k, {0} AS v FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"
 _GAP = "(floor(epoch(l_shipdate)) - floor(epoch(o_orderdate)))"
 
 
@@ -159,6 +162,70 @@ SIMPLE: dict[str, tuple[list[str], str]] = {
     "simple_default_limit": (["part", "p_partkey", "p_size=7", "", "p_partkey"], "SELECT p_partkey FROM part WHERE p_size = 7 ORDER BY p_partkey LIMIT 10"),
 }
 
+#: Texts that are written to CSV files and read from there: blanks, short and long rows, quotes, line breaks, mixed numbers and dates.
+CSV = {
+    "people": 'id,name,age,city,note\n1,Ann,30,Rome,"a, b"\n2,Bob,,Oslo,"say ""hi"""\n3,cid,1e2,rome,\n\n4,Dan, 41 ,Oslo,"two\nlines"\n5,Ève,abc,,0x10\n6,Flo\n7,Gus,25,Oslo,1d,extra\n',
+    "depts": "city,dept\nRome,A\nOslo,B\n,C\n",
+    "spans": "id,a,b\n1,2026-01-31T03:30:00Z,02/01/2026 00:00\n2,31.01.2026 03:30,20260201000000\n3,,2026-02-01\n4,x,2026-02-01 06:00:00\n",
+    "wide": "k,v\n1,1e20\n2,-1e20\n3,9007199254740994\n4,2.5\n5,\n",
+}
+#: The same as tables for the oracle.
+_VALUES = {
+    "people": "(VALUES ('1', 'Ann', '30', 'Rome', 'a, b'), ('2', 'Bob', '', 'Oslo', 'say \"hi\"'), ('3', 'cid', '1e2', 'rome', ''), ('4', 'Dan', ' 41 ', 'Oslo', 'two' || chr(10) || 'lines'), ('5', 'Ève', 'abc', '', '0x10'), ('6', 'Flo', '', '', ''), ('7', 'Gus', '25', 'Oslo', '1d')) people(id, name, age, city, note)",
+    "depts": "(VALUES ('Rome', 'A'), ('Oslo', 'B'), ('', 'C')) depts(city, dept)",
+    "spans": "(VALUES ('1', TIMESTAMP '2026-01-31 03:30:00', TIMESTAMP '2026-02-01'), ('2', TIMESTAMP '2026-01-31 03:30:00', TIMESTAMP '2026-02-01'), ('3', NULL, TIMESTAMP '2026-02-01'), ('4', NULL, TIMESTAMP '2026-02-01 06:00:00')) spans(id, a, b)",
+    "wide": "(VALUES ('1', 1e20::DOUBLE), ('2', -1e20::DOUBLE), ('3', 9007199254740994::DOUBLE), ('4', 2.5::DOUBLE), ('5', NULL)) wide(k, v)",
+}
+_AGE = "try_cast(trim(age) AS DOUBLE)"
+CSV_SQL: dict[str, tuple[str, str]] = {
+    "csv_rows": ("SELECT * FROM people", "SELECT * FROM people"),
+    "csv_line_break": ("SELECT id, note FROM people WHERE note LIKE 'two%'", "SELECT id, note FROM people WHERE note LIKE 'two%'"),
+    "csv_number_filter": ("SELECT id FROM people WHERE age > 29", f"SELECT id FROM people WHERE {_AGE} > 29"),
+    "csv_not_filter": ("SELECT id FROM people WHERE NOT age = 30", f"SELECT id FROM people WHERE NOT coalesce({_AGE} = 30, false)"),
+    "csv_is_null": ("SELECT id FROM people WHERE age IS NULL", "SELECT id FROM people WHERE age = ''"),
+    "csv_counts": (
+        "SELECT COUNT(*) AS n, COUNT(age) AS c, COUNT(DISTINCT city) AS d, SUM(age) AS s, AVG(age) AS a, MIN(age) AS lo, MAX(name) AS hi FROM people",
+        f"SELECT count(*) AS n, count(nullif(age, '')) AS c, count(DISTINCT city) AS d, sum({_AGE}) AS s, avg({_AGE}) AS a, CAST(CAST(min({_AGE}) AS BIGINT) AS VARCHAR) AS lo, max(name) AS hi FROM people",
+    ),
+    "csv_case": ("SELECT id, CASE WHEN city = 'Oslo' THEN 'o' WHEN age IS NULL THEN 'none' ELSE 'x' END AS k FROM people", "SELECT id, CASE WHEN city = 'Oslo' THEN 'o' WHEN age = '' THEN 'none' ELSE 'x' END AS k FROM people"),
+    "csv_group_case": (
+        "SELECT CASE WHEN Age > 29 THEN 'old' ELSE 'young' END AS k, COUNT(*) AS n FROM people GROUP BY CASE WHEN age > 29 THEN 'old' ELSE 'young' END",
+        f"SELECT CASE WHEN {_AGE} > 29 THEN 'old' ELSE 'young' END AS k, count(*) AS n FROM people GROUP BY 1",
+    ),
+    "csv_group_blank": ("SELECT city, COUNT(*) AS n FROM people GROUP BY city HAVING n > 1", "SELECT city, count(*) AS n FROM people GROUP BY city HAVING count(*) > 1"),
+    "csv_order_mixed": ("SELECT id FROM people ORDER BY age DESC, id LIMIT 3", f"SELECT id FROM people ORDER BY age <> '' AND {_AGE} IS NULL DESC, {_AGE} DESC NULLS LAST, id LIMIT 3"),
+    "csv_length": ("SELECT id, LENGTH(name) AS n FROM people", "SELECT id, strlen(name) AS n FROM people"),
+    "csv_coalesce": ("SELECT id, COALESCE(note, city, 'none') AS v FROM people", "SELECT id, coalesce(nullif(note, ''), nullif(city, ''), 'none') AS v FROM people"),
+    "csv_join": ("SELECT p.id, d.dept FROM people p JOIN depts d ON p.city = d.city", "SELECT id, dept FROM people JOIN depts USING (city)"),
+    "csv_datediff": ("SELECT id, DATEDIFF('hour', a, b) AS h FROM spans", "SELECT id, coalesce((epoch(b) - epoch(a)) / 3600, 0.0) AS h FROM spans"),
+    "csv_extract": ("SELECT id, EXTRACT(hour FROM b) AS h, EXTRACT(month FROM a) AS m FROM spans", "SELECT id, CAST(EXTRACT(hour FROM b) AS INTEGER) AS h, CAST(coalesce(EXTRACT(month FROM a), 0) AS INTEGER) AS m FROM spans"),
+    "csv_wide_whole": ("SELECT k, CEIL(v) AS c, FLOOR(v) AS f, ROUND(v) AS r FROM wide", "SELECT k, ceil(v) AS c, floor(v) AS f, try_cast(round(v) AS BIGINT) AS r FROM wide"),
+    "csv_wide_mod": ("SELECT k, MOD(v, 7) AS m FROM wide", "SELECT k, v - floor(v / 7) * 7 AS m FROM wide"),
+    "csv_wide_text": ("SELECT k, CAST(CAST(v AS DOUBLE) AS VARCHAR) AS t FROM wide WHERE v IS NOT NULL", "SELECT k, CASE k WHEN '4' THEN '2.5' ELSE CAST(CAST(v AS HUGEINT) AS VARCHAR) END AS t FROM wide WHERE v IS NOT NULL"),
+    "csv_wide_literal": ("SELECT k FROM wide WHERE v < 99999999999999999999999", "SELECT k FROM wide WHERE v < 99999999999999999999999"),
+}
+
+
+def _csv(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark)
+        for name, content in CSV.items():
+            if name in text:
+                engine.register(name, engine.resolver(spool(spark, [content])))
+        return engine.sql(text)
+
+    return run
+
+
+def _csv_oracle(text: str) -> str:
+    return "WITH " + ", ".join(f"{name} AS (SELECT * FROM {values})" for name, values in _VALUES.items() if name in text) + " " + text
+
+
+def join_date_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date column meets a timestamp column."""
+    days = read_parquet(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return Engine(spark, base=sf_dir).register("days", days).sql("SELECT o_orderkey, day FROM orders JOIN days ON o_orderdate = day")
+
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: Engine(spark, base=sf_dir).sql(text)
@@ -169,4 +236,7 @@ def _simple(args: list[str]) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _sql(sql if isinstance(sql, str) else sql[0]) for name, sql in SQL.items()} | {name: _simple(args) for name, (args, _) in SIMPLE.items()}
+QUERIES |= {name: _csv(sql) for name, (sql, _) in CSV_SQL.items()} | {"join_date_time": join_date_time}
 ORACLE_SQL = {name: sql if isinstance(sql, str) else sql[1] for name, sql in SQL.items()} | {name: sql for name, (_, sql) in SIMPLE.items()}
+ORACLE_SQL |= {name: _csv_oracle(sql) for name, (_, sql) in CSV_SQL.items()}
+ORACLE_SQL["join_date_time"] = "SELECT o_orderkey, day FROM orders JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) d ON o_orderdate = day"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import csv
 import io
-from collections.abc import Iterable
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +60,50 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool | N
     return _filled(df)
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The path and its file system, whatever its scheme."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, of all files of a folder, or of what a pattern names."""
+    target, files = hadoop_path(spark, path)
+    return sum(files.getContentSummary(found.getPath()).getLength() for found in files.globStatus(target) or ())
+
+
+def spool(spark: SparkSession, parts: Iterable[str]) -> str:
+    """A text written piece by piece to a file that all workers can read, until the application ends; its path."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        folder = f"file://{tempfile.gettempdir()}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    target, files = hadoop_path(spark, f"{folder.rstrip('/')}/{uuid.uuid4().hex}.csv")
+    out = files.create(target)
+    for part in parts:
+        out.write(bytearray(part.encode("utf-8", "surrogateescape")))
+    out.close()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            files.delete(target, False)
+
+    atexit.register(remove)
+    return target.toString()
+
+
+def read_piped(spark: SparkSession, stdin: TextIO, sep: str = ",", multiline: bool | None = None) -> DataFrame:
+    """Standard input, of any length: the driver holds a piece of it at a time."""
+
+    def parts() -> Iterator[str]:
+        while part := stdin.read(1 << 20):
+            yield part
+
+    return read_csv(spark, spool(spark, parts()), sep, multiline)
+
+
 def read_lines(spark: SparkSession, lines: Iterable[str], sep: str = ",") -> DataFrame:
-    """Captured text, such as standard input, as a DataFrame."""
+    """Captured text that the driver holds, as a DataFrame."""
     rows = [r for r in csv.reader(lines, delimiter=delimiter(sep)) if r]
     if not rows:
         raise QueryError("the input is empty")

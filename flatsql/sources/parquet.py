@@ -1,4 +1,4 @@
-"""Parquet tables, whose schemas are read once as long as the table stays as it is."""
+"""Parquet tables. The schema of a table that is one file is read once as long as the file stays as it is."""
 
 from __future__ import annotations
 
@@ -10,13 +10,18 @@ REMEMBERED = 256
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The table at path. Its schema takes a job to read; it is remembered by path, time of change and size."""
+    """The table at path. Its schema takes a job to read; that of a single file is remembered by path, time of change and size.
+
+    A folder's own time and size say nothing of changes further down, so the schemas of folders are read each time.
+    """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if "*" in path or not files.exists(target):
         return spark.read.parquet(path)
     status = files.getFileStatus(target)
+    if not status.isFile():
+        return spark.read.parquet(path)
     key = (path, status.getModificationTime(), status.getLen())
     if key not in _SCHEMAS:
         if len(_SCHEMAS) >= REMEMBERED:

@@ -1,7 +1,7 @@
 """Queries over growing folders: the same plans, built on a streaming DataFrame.
 
 Filters, projections, functions and LIMIT run in append mode. DISTINCT keeps what it has seen in the state
-store. GROUP BY runs in update or complete mode, ORDER BY only above it in complete mode, and joins with a
+store. GROUP BY and aggregates run in complete mode, ORDER BY only above it in complete mode, and joins with a
 table that does not grow; what Structured Streaming cannot run, it rejects when the query starts.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flatsql.api import Engine
 from flatsql.plans.ast import Query
 from flatsql.plans.parser import parse
+from flatsql.plans.planner import is_grouped
 from flatsql.sources.csv import delimiter
 
 
@@ -36,13 +37,22 @@ def stream_sql(engine: Engine, sql: str, source: DataFrame) -> DataFrame:
 
 
 def output_mode(query: Query) -> str:
-    grouped = query.group_by or query.having
-    return "complete" if grouped or (query.order_by and not query.distinct) else "append"
+    return "complete" if is_grouped(query) or (query.order_by and not query.distinct) else "append"
 
 
-def start(engine: Engine, sql: str, source: DataFrame, name: str, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Starts the query into a table in memory called name."""
-    writer = stream_sql(engine, sql, source).writeStream.outputMode(output_mode(parse(sql))).format("memory").queryName(name)
+def start(engine: Engine, sql: str, source: DataFrame, name: str, checkpoint: str | None = None, available_now: bool = True, path: str | None = None) -> StreamingQuery:
+    """Starts the query into the folder of Parquet files at path, or without one into a table in memory called name.
+
+    A result that grows is added to the folder; aggregates, which change, are written anew with every batch.
+    """
+    mode = output_mode(parse(sql))
+    writer = stream_sql(engine, sql, source).writeStream.outputMode(mode).queryName(name)
+    if path is None:
+        writer = writer.format("memory")
+    elif mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -35,13 +35,13 @@ def test_command_line(spark, people):
     code, out, err = run(f"SELECT nope FROM '{people}'")
     assert code == 1 and out == "" and "nope" in err
     code, out, _ = run("--schema", str(people))
-    assert code == 0 and "Rows: 3" in out and "INTEGER" in out and "TEXT" in out
+    assert code == 0 and "Rows: 3" in out and "INTEGER" in out and "TEXT" in out and "Size: 50 B" in out
 
 
 def test_library(spark, people):
     sql = f"SELECT city, COUNT(*) AS n FROM '{people}' GROUP BY city ORDER BY n DESC"
     assert flatsql.query(sql) == [{"city": "Rome", "n": 2}, {"city": "Oslo", "n": 1}]
-    assert flatsql.query_tuples(sql) == [("Rome", 2), ("Oslo", 1)]
+    assert flatsql.query_tuples(sql) == (["city", "n"], [("Rome", 2), ("Oslo", 1)])
     assert flatsql.query_csv(sql) == "city,n\nRome,2\nOslo,1\n"
     assert list(flatsql.query_df(sql).columns) == ["city", "n"]
 
@@ -100,6 +100,37 @@ def test_streams(spark, tmp_path):
         assert {tuple(r) for r in spark.table(f"stream_{name}").collect()} == rows
 
 
+def test_streams_of_aggregates(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    source = csv_stream(spark, str(folder), ["k", "v"])
+    for name, sql, rows in (
+        ("all", "SELECT COUNT(*) AS n, SUM(v) AS s FROM '-'", [{(2, 3.0)}, {(3, 6.0)}]),
+        ("kept", "SELECT k FROM '-' WHERE v > 1", [{("y",)}, {("y",), ("z",)}]),
+    ):
+        for file, text, want in (("a", "k,v\nx,1\ny,2\n", rows[0]), ("b", "k,v\nz,3\n", rows[1])):
+            (folder / f"{file}.csv").write_text(text)
+            start(Engine(spark), sql, source, f"sink_{name}", checkpoint=f"{tmp_path}/{name}-state", path=f"{tmp_path}/{name}").awaitTermination(120)
+            assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()} == want
+        for file in "ab":
+            (folder / f"{file}.csv").unlink()
+
+
+def test_piped_input_has_the_rows_of_a_file(spark, tmp_path):
+    text = "k,v\n" + "".join(f'{n},"{"é" * 90}\nx"\n' for n in range(20_000))
+    (tmp_path / "f.csv").write_text(text)
+    sql = "SELECT COUNT(*) AS n, MIN(k) AS lo, MAX(LENGTH(v)) AS hi FROM {}"
+    assert run(sql.format("'-'"), stdin=text)[1] == run(sql.format(f"'{tmp_path}/f.csv'"))[1] == "n,lo,hi\n20000,0,182\n"
+
+
+def test_schemas_of_changed_tables(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(2).selectExpr("id p", "id a").write.partitionBy("p").parquet(path)
+    assert Engine(spark).sql(f"SELECT * FROM '{path}'").columns == ["a", "p"]
+    spark.range(2).selectExpr("id p", "id b").write.partitionBy("p").mode("overwrite").parquet(path)
+    assert Engine(spark).sql(f"SELECT * FROM '{path}'").columns == ["b", "p"]
+
+
 def test_quoted_line_breaks_at_every_size(spark, tmp_path):
     from flatsql.sources.csv import read_csv
 
