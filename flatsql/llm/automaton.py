@@ -40,11 +40,12 @@ class SuffixAutomaton:
         self.places.append(places)
         return len(self.size) - 1
 
-    def add(self, sequence: Sequence[Hashable]) -> None:
+    def add(self, sequence: Sequence[Hashable], places: int = 1) -> None:
+        """A sequence that stands in so many places."""
         last = 0
         for symbol in sequence:
             last = self._extend(last, symbol)
-            self.places[last] += 1
+            self.places[last] += places
 
     def _clone(self, p: int, q: int, symbol: Hashable) -> int:
         r = self._state(self.size[p] + 1, dict(self.step[q]), self.link[q], 0)
@@ -123,13 +124,13 @@ class WordRepeats(RepeatFinder):
     def concat(self, parts: list[list[bytes]]) -> list[bytes]:
         return [word for part in parts for word in part]
 
-    def search(self, shards: list[list[bytes]]) -> list[list[list[tuple[int, int]]]]:
+    def search(self, shards: list[list[tuple[int, bytes]]]) -> list[list[list[tuple[int, int]]]]:
         out = []
         for passages in shards:
             automaton = SuffixAutomaton()
-            split = [self.parts(content) for content in passages]
-            for words in split:
-                automaton.add(words)
+            split = [self.parts(content) for _, content in passages]
+            for (places, _), words in zip(passages, split, strict=True):
+                automaton.add(words, places)
             automaton.finish()
             out.append([automaton.spans(words, self.length, 2) for words in split])
         return out

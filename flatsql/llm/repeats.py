@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -72,6 +72,21 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
 
 
+_SPAN_TYPE = "array<struct<start:long,end:long>>"
+
+
+def merge_spans(spans: Column) -> Column:
+    """merged() of an array column: disjoint maximal spans in order, however many overlap."""
+    last = lambda out: F.element_at(out, -1)
+    grown = lambda out, s: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end"))))
+    apart = lambda out, s: (F.size(out) == 0) | (F.try_element_at(out, F.lit(-1))["end"] < s["start"])
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPAN_TYPE), lambda out, s: F.when(apart(out, s), F.concat(out, F.array(s))).otherwise(grown(out, s)))
+
+
+def shifted(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["start"] + by).cast("long").alias("start"), (s["end"] + by).cast("long").alias("end")))
+
+
 class RepeatFinder(ABC):
     """length: units in a window; k: units in an anchor, a power of two; most: different passages in a shard."""
 
@@ -97,11 +112,14 @@ class RepeatFinder(ABC):
         """join()'s units."""
 
     @abstractmethod
-    def search(self, shards: list[list[bytes]]) -> list[list[list[tuple[int, int]]]]:
-        """For each passage of each shard the unit ranges covered by windows that start elsewhere in its shard, too."""
+    def search(self, shards: list[list[tuple[int, bytes]]]) -> list[list[list[tuple[int, int]]]]:
+        """For each passage of each shard, with the number of places that have it, the unit ranges covered by windows
+        that start elsewhere in the shard, too."""
 
-    #: Units of a passage by which batches of shards are measured, and how many make a batch.
+    #: Bytes of passages that are searched at once.
     batch_bytes = 4 << 20
+    #: Bytes of passages in a partition, and partitions at most; beyond, they are larger.
+    part_bytes, most_parts = 2 << 20, 20_000
 
     def digest(self, units: Sequence, hashes: np.ndarray, a: int, b: int) -> int:
         return xxhash.xxh3_64_intdigest(hashes[a:b].tobytes())
@@ -193,15 +211,16 @@ class RepeatFinder(ABC):
         schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("at", pa.int32()), ("content", pa.binary()), ("parent_h", pa.int64()), ("parent_c", pa.int64()), ("shift", pa.int32())])
         return pieces.select("h", "c", "m", "at", "content").mapInArrow(run, "h long, c long, m long, at int, content binary, parent_h long, parent_c long, shift int")
 
-    def shards(self, pieces: DataFrame) -> DataFrame:
-        """pieces(h, c, m, content) -> (h, c, spans): a shard lies together in one partition; whole shards are searched in batches."""
+    def shards(self, pieces: DataFrame, size: int) -> DataFrame:
+        """pieces(h, c, m, content) of so many bytes -> (h, c, spans): a shard lies together in one partition; whole
+        shards are searched in batches."""
+        parts = min(self.most_parts, -(-size // self.part_bytes) + 1)
         schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("spans", SPANS)])
 
         def searched(held: list[tuple[int, list[tuple]]]) -> Iterator[tuple]:
-            found = self.search([[content for _, _, content in passages] for _, passages in held])
+            found = self.search([[(m, content) for _, m, content in passages] for _, passages in held])
             for (h, passages), each in zip(held, found, strict=True):
-                for (c, m, content), spans in zip(passages, each, strict=True):
-                    spans = [(0, len(self.parts(content)))] if m > 1 else spans
+                for (c, _, _), spans in zip(passages, each, strict=True):
                     if spans:
                         yield h, c, [{"start": s, "end": e} for s, e in spans]
 
@@ -223,7 +242,7 @@ class RepeatFinder(ABC):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batched(rows(batches), schema, lambda r: 10 + len(r[2]), 20_000)
 
-        return pieces.select("h", "c", "m", "content").repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, spans array<struct<start:long,end:long>>")
+        return pieces.select("h", "c", "m", "content").repartition(parts, "h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, spans array<struct<start:long,end:long>>")
 
     def find(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
         """(doc_id, n, spans, kept): one row per row of docs.
@@ -252,12 +271,14 @@ class RepeatFinder(ABC):
         pieces = segments.groupBy("h", "c").agg(F.count("*").alias("m"), F.first("at").alias("at"), F.first("content").alias("content"))
         found: list[DataFrame] = []
         links: list[DataFrame] = []
+        if not self.ranges or self.ranges[-1] != 1:
+            raise ValueError("the last ranges hold one window, so that no shard is left that is too large")
         for step, size in enumerate([*self.ranges, None]):
             pieces = scratch.write(pieces, f"pieces{step}")
             sizes = pieces.groupBy("h").agg(F.count("*").alias("k"))
             large = scratch.write(sizes.where(F.col("k") > self.most).select("h"), f"large{step}")
-            spans = scratch.write(self.shards(pieces.join(large, "h", "left_anti")), f"found{step}")
-            found.append(spans.select("h", "c", F.explode("spans").alias("s")).select("h", "c", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
+            bytes_ = pieces.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+            found.append(scratch.write(self.shards(pieces.join(large, "h", "left_anti"), bytes_), f"found{step}"))
             if size is None or large.isEmpty():
                 break
             finer = scratch.write(self.finer(pieces.join(large, "h", "left_semi"), size), f"finer{step}")
@@ -266,14 +287,14 @@ class RepeatFinder(ABC):
             links.append(finer.select("h", "c", "parent_h", "parent_c", "shift"))
             pieces = finer.groupBy("h", "c").agg(F.sum("m").alias("m"), F.first("at").alias("at"), F.first("content").alias("content"))
 
+        # Each piece has one row with its disjoint spans at every level, so that rows follow the pieces and not the windows.
         spans = found[-1]
         for step in range(len(found) - 2, -1, -1):  # what was found in the parts of a piece is found in the piece
-            lifted = links[step].join(spans, ["h", "c"]).select(F.col("parent_h").alias("h"), F.col("parent_c").alias("c"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
-            spans = scratch.write(found[step].union(lifted), f"spans{step}")
-        by_piece = scratch.write(spans.groupBy("h", "c").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "by-piece")  # of one passage
-        places = segments.drop("content", "at").join(by_piece, ["h", "c"]).select("doc_id", "row", F.explode("spans").alias("s"), "first")
-        spans = places.select("doc_id", "row", F.struct((F.col("first") + F.col("s.start")).cast("long").alias("start"), (F.col("first") + F.col("s.end")).cast("long").alias("end")).alias("s"))
-        spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list("s").alias("more"))
+            lifted = links[step].join(spans, ["h", "c"]).select(F.col("parent_h").alias("h"), F.col("parent_c").alias("c"), shifted(F.col("spans"), F.col("shift")).alias("spans"))
+            lifted = found[step].union(lifted).groupBy("h", "c").agg(merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))  # of one passage
+            spans = scratch.write(lifted, f"spans{step}")
+        places = segments.drop("content", "at").join(spans, ["h", "c"]).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), shifted(F.col("spans"), F.col("first")).alias("spans"))
+        spans = places.groupBy("_id", "_row").agg(F.flatten(F.collect_list("spans")).alias("more"))  # of one document
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("doc_id", arrow_kind), ("n", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])

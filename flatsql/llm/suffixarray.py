@@ -240,8 +240,10 @@ class ByteRepeats(RepeatFinder):
 
         return xxhash.xxh3_64_intdigest(units[a:b])
 
-    def search(self, shards: list[list[bytes]]) -> list[list[list[tuple[int, int]]]]:
-        return [[runs(starts, self.length) for starts in texts] for texts in repeated_starts(shards, self.length)]
+    def search(self, shards: list[list[tuple[int, bytes]]]) -> list[list[list[tuple[int, int]]]]:
+        # A passage of several places goes in twice, which is enough to repeat all of it.
+        texts = [[content for _, content in passages] + [content for places, content in passages if places > 1] for passages in shards]
+        return [[runs(starts, self.length) for starts in found[: len(passages)]] for passages, found in zip(shards, repeated_starts(texts, self.length), strict=True)]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
