@@ -76,7 +76,7 @@ def sequences(raws: list[bytes], length: int, end: int, kind: np.dtype) -> tuple
     return out.reshape(-1, length), count, np.clip(np.repeat(size, count) - part * length, 0, length)
 
 
-def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, rounds: int = 3, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
+def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text", key: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, rounds: int = 5, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
     """Writes the shards and a manifest to out_dir and returns their index, one row for each sequence:
     (slot, shard, offset, doc_id, part, n_tokens, crc32).
 
