@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flatsql.llm.common import slices
+
 LANE = 128
 #: Pieces that a worker remembers, of SHORT bytes or fewer; beyond, it starts afresh.
 REMEMBERED = 400_000
 SHORT = 16
 #: Characters of text that are split before their new pieces are merged.
 CHUNK = 1_000_000
-#: Texts of an Arrow batch that are turned into strings at once.
-ROWS = 500
 NONE = np.iinfo(np.int32).max
 #: The pattern that is split by numpy, over classes of characters; others go through the regular expression.
 PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -506,10 +506,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(path), pattern)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

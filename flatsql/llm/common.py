@@ -34,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+#: Record batches that go to Python while a scratch table is written: so many rows and bytes at most.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written for one job in the shared folder.
 
@@ -51,7 +68,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """df, written as Parquet and read back; shuffle files that nothing refers to are let go."""
-        df.write.option("compression", "zstd").parquet(self.path(name), partitionBy=list(partition_by) or None)
+        with settings(self.spark, ARROW):
+            df.write.option("compression", "zstd").parquet(self.path(name), partitionBy=list(partition_by) or None)
         schema = df.schema
         del df
         self.release()
@@ -79,9 +97,14 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, of which a worker makes Python objects one at a time."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Plain tuples of the named columns."""
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 

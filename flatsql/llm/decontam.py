@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flatsql.llm.common import Scratch
+from flatsql.llm.common import Scratch, slices
 
 WINDOW = 13
 SEGMENT_BYTES = 4 << 20
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
                 size += len(row[1] or "")
@@ -173,7 +173,7 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
     kind = index.schema["doc_ids"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for doc_ids, rows, n_words, bases, terms, counts, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 postings = Postings(terms, counts, positions)
                 bounds = np.array(bases)
@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, starts, ends, items = (batch.column(i).to_pylist() for i in range(2, 6))
             hit = [covered(s, e) for s, e in zip(starts, ends, strict=True)]
             sha = [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items]

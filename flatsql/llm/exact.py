@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flatsql.llm.common import Scratch, ascii_lower, text_of
+from flatsql.llm.common import Scratch, ascii_lower, settings, text_of
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -35,15 +35,9 @@ def _seen(rows: DataFrame, scratch: Scratch, digest: str = "digest") -> DataFram
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(scratch.path(f"updates/batch={number}"))
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    try:
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
+    with settings(spark, STATE):
         query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(state.schema).parquet(scratch.path("updates"))
     return scratch.write(updates.groupBy(digest).agg(F.max("top").alias("top"), F.max("group_size").alias("group_size")), "seen")
 

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flatsql.llm.bpe import default_vocabulary, encoder, ranges, slices
-from flatsql.llm.common import Scratch
+from flatsql.llm.bpe import default_vocabulary, encoder, ranges
+from flatsql.llm.common import Scratch, slices
 
 LENGTH = 256
 PER_SHARD = 16384

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flatsql.llm.common import Scratch, batched
+from flatsql.llm.common import Scratch, batched, slices
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB)]
@@ -130,7 +130,7 @@ class RepeatFinder(ABC):
         """Every segment: its anchor's hash h, its own c, the place of the anchor and its first and last window."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 held: list[list] = []
                 for at, text in enumerate(batch.column(1).to_pylist()):
                     units = self.split(text)
@@ -154,7 +154,7 @@ class RepeatFinder(ABC):
         schema = pa.schema([("kind", pa.int32()), ("doc_id", arrow_kind), ("row", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("anchor", pa.int32()), ("first", pa.int32()), ("content", pa.binary()), ("n", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
+            for batch in slices(batches, 100):
                 for doc_id, text, row, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     units = self.split(text)
                     spans = merged([(s["first"], s["last"] + self.length) for s in segments or () if not s["mixed"]])
@@ -191,7 +191,7 @@ class RepeatFinder(ABC):
         for each range: (h, c, m, at, content, parent_h, parent_c, shift), shift being its place in its parent."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
 
                 def rows(batch=batch) -> Iterator[tuple]:
                     for h, c, m, at, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -227,7 +227,7 @@ class RepeatFinder(ABC):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             held: list[tuple[int, list[tuple]]] = []
             size = 0
-            for batch in batches:
+            for batch in slices(batches):
                 for h, c, m, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                     if not held or held[-1][0] != h:
                         if size >= self.batch_bytes:
@@ -300,7 +300,7 @@ class RepeatFinder(ABC):
             schema = pa.schema([("doc_id", arrow_kind), ("n", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
 
             def rows() -> Iterator[tuple]:
-                for batch in batches:
+                for batch in slices(batches, 100):
                     for doc_id, content, spans, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                         units = self.split(content.decode("utf-8", "surrogatepass"))
                         all_ = merged([(s["start"], s["end"]) for s in (*spans, *(more or ()))])

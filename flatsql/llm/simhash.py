@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flatsql.llm.common import Scratch, batched, rows_of
+from flatsql.llm.common import Scratch, batched, rows_of, slices
 from flatsql.llm.components import connected_components
 
 BITS = 64
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long): one row per row of docs; the long holds the unsigned fingerprint's bits. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flatsql.llm.common import slices
+
 BUCKETS = 1 << 18
 #: The fit takes at most so many confirmed toxic and so many unlabelled texts, those with the least hashes of their ids.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 16000
@@ -109,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = chosen.groupBy("id").agg(F.collect_set("part").alias("parts"))  # at most max_positive + max_unlabelled rows
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.array([bucket(w) for w in words(x)], np.int32).tobytes() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["found", "parts"])
 
