@@ -6,7 +6,9 @@ urls are cut into blocks of bounded text, the substrings of a block's names are
 worker holds the counts that its block can ask for and no others. A bitmap of fixed size, in which every word
 of the table has a bit, spares the join most substrings that are no words; one that passes by chance is not
 found in the table, so the bitmap's size bears on speed only. The classifier is multinomial naive Bayes over
-hashed words, trained on the urls that the rules judge; its table has a fixed size.
+hashed words; its table has a fixed size. It is trained on all urls, of which those with one of a few seed words
+among their split names are its examples of what to block, the others of what to allow: so it learns the company
+that the seeds keep. What the rules say of a url is no label: they go by domains and folders, not by what hosts are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from flatsql.llm.common import Scratch, ascii_lower, batched
 
 #: The contract's rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Words by which a url is an example of what to block, a parameter of judge(): gambling, drugs, pornography, advertising.
+SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "lottery", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "xxx")
 CLASSES = 1 << 16
+#: Added to every count of a word that some url has.
+SMOOTHING = 0.1
 LONGEST = 24
 #: What parts words, for Java.
 NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
@@ -131,14 +137,18 @@ def substrings(name: str) -> Iterator[str]:
     return (name[s:e] for s in range(len(name)) for e in range(s + 1, min(s + LONGEST, len(name)) + 1))
 
 
-def count_words(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Vocabulary:
-    """Exact counts of the words of LONGEST characters or fewer in all pages: their visible text and their urls' paths.
+def count_words(pages: DataFrame, url_col: str = "url", html_col: str = "html", more: tuple[str, ...] = ()) -> Vocabulary:
+    """Exact counts of the words of LONGEST characters or fewer in all pages: their visible text, their urls' paths, and
+    those parts of hosts that hyphens show to be words; each of `more` counts once besides.
 
     Words are runs of letters, marks and digits of any script, lower-cased.
     """
-    _, path = host_and_path(F.col(url_col))
-    text = F.concat_ws(" ", F.regexp_replace(F.coalesce(html_col, F.lit("")), "(?s)<[^>]*>", " "), path)
+    host, path = host_and_path(F.col(url_col))
+    parted = F.concat_ws(" ", F.filter(F.split(host, r"\."), lambda x: x.contains("-")))
+    text = F.concat_ws(" ", F.regexp_replace(F.coalesce(html_col, F.lit("")), "(?s)<[^>]*>", " "), path, parted)
     words = pages.select(F.explode(F.split(F.lower(text), NO_WORD)).alias("word")).where(F.length("word").between(1, LONGEST))
+    if more:
+        words = words.union(pages.sparkSession.createDataFrame([(w,) for w in more], "word string"))
     counts = Scratch(pages.sparkSession, "urls").write(words.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
     return Vocabulary(counts, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
@@ -154,13 +164,16 @@ def names_of(host: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """Log odds of block against allow: a prior and a weight for each bucket of hashed words."""
+    """Log odds of block against allow: a prior and a weight for each bucket of hashed words, 0 where no url has one.
+
+    Numbers say nothing of a url and are left out.
+    """
 
     prior: float
     weights: np.ndarray
 
     def log_odds(self, words: list[str]) -> float:
-        return self.prior + float(sum(self.weights[zlib.crc32(w.encode()) % len(self.weights)] for w in words))
+        return self.prior + float(sum(self.weights[zlib.crc32(w.encode()) % len(self.weights)] for w in words if any(map(str.isalpha, w))))
 
 
 def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> DataFrame:
@@ -223,29 +236,32 @@ def segmented(rows: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> Data
     return scratch.write(both.mapInArrow(split, f"{schema}, words array<string>"), "segmented")
 
 
-def train(judged: DataFrame) -> NaiveBayes:
-    """judged(words, verdict null where no rule fits) -> the classifier, with add-one smoothing."""
-    known = judged.where("verdict is not null").select("verdict", F.transform("words", lambda w: (F.crc32(w) % CLASSES).cast("int")).alias("cells"))
-    cells = known.select("verdict", F.explode(F.concat(F.array(F.lit(-1)), "cells")).alias("cell")).groupBy("cell").agg(F.sum((F.col("verdict") == "block").cast("long")), F.sum((F.col("verdict") == "allow").cast("long")))
+def train(rows: DataFrame, seeds: tuple[str, ...] = SEEDS) -> NaiveBayes:
+    """rows(words) -> the classifier; rows without words teach nothing."""
+    block = F.arrays_overlap("words", F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+    cells = F.transform(F.filter("words", lambda w: w.rlike(r"\p{L}")), lambda w: (F.crc32(w) % CLASSES).cast("int"))
+    known = rows.where(F.size("words") > 0).select(block.cast("long").alias("block"), F.explode(F.concat(F.array(F.lit(-1)), cells)).alias("cell"))
     table = np.zeros((2, CLASSES + 1))
-    for cell, block, allow in cells.collect():  # CLASSES + 1 rows at most
-        table[:, cell] = block, allow
-    docs = table[:, -1] + 1
-    chance = (table[:, :-1] + 1) / (table[:, :-1].sum(axis=1, keepdims=True) + CLASSES)
-    return NaiveBayes(float(np.log(docs[0] / docs[1])), np.log(chance[0] / chance[1]))
+    for cell, bad, every in known.groupBy("cell").agg(F.sum("block"), F.count("*")).collect():  # CLASSES + 1 rows at most
+        table[:, cell] = bad, every - bad
+    urls, counts = table[:, -1] + 1, table[:, :-1]
+    seen = counts.sum(axis=0) > 0
+    chance = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * max(1, seen.sum()))
+    return NaiveBayes(float(np.log(urls[0] / urls[1])), np.where(seen, np.log(chance[0] / chance[1]), 0.0))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds): one row per row of pages.
 
     A url that no rule fits is blocked where the classifier's log odds are above zero. Null urls and those
-    without '://' have neither host nor path, hence the prior's verdict.
+    without '://' have neither host nor path, hence the prior's verdict. Repeated rows each get a row and count
+    each; urls of any length are judged whole. No row gives no row. Other columns are not read.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "found.rule", "found.verdict")
-    rows = segmented(rows, count_words(pages, url_col, html_col), Scratch(pages.sparkSession, "urls"))
-    model = train(rows)
+    rows = segmented(rows, count_words(pages, url_col, html_col, seeds), Scratch(pages.sparkSession, "urls"))
+    model = train(rows, seeds)
     sent = pages.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
