@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,6 +26,40 @@ def test_exact(spark):
     assert exact.exact_duplicates(docs.limit(0)).count() == 0 and exact.drop_exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_later_tables_go_on_from_the_state(spark, tmp_path):
+    tables = [[(1, "One"), (2, "two"), (3, None)], [(4, "one"), (1, "three"), (0, "TWO"), (0, "TWO")], [(9, "four")], [(5, ""), (6, "ONE")]]
+    want = [{1: (1, 1, True), 2: (2, 1, True), 3: (3, 1, True)}, {4: (4, 2, True), 1: (1, 1, True), 0: (2, 3, False)}, {9: (9, 1, True)}, {5: (5, 2, True), 6: (6, 3, True)}]
+    for n, rows in enumerate(tables):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/t{n}")
+        docs = spark.read.parquet(f"{tmp_path}/t{n}")
+        got = exact.exact_duplicates(docs, state_dir=f"{tmp_path}/state").collect()
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want[n] and len(got) == len(rows)
+        assert len({r.locator for r in got}) == len(rows)
+    rows = spark.createDataFrame([(7, "one"), (8, "new")], "doc_id long, text string")  # no files: written first
+    assert [r.doc_id for r in exact.drop_exact_duplicates(rows, state_dir=f"{tmp_path}/state").orderBy("doc_id").collect()] == [7, 8]
+    assert exact.drop_exact_duplicates(spark.createDataFrame([(6, "one")], "doc_id long, text string"), state_dir=f"{tmp_path}/state").count() == 0
+
+
+def test_texts_of_earlier_tables_are_compared(spark, tmp_path):
+    same = lambda t: F.substring(F.sha2(F.substring(t, 1, 1), 256), 1, 8)  # noqa: E731  texts that start alike share a digest
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert exact.exact_duplicates(docs((1, "aa"), (2, "b")), digest=same, state_dir=f"{tmp_path}/state").count() == 2
+    assert exact.exact_duplicates(docs((3, "B"), (4, "c")), digest=same, state_dir=f"{tmp_path}/state").where("doc_id = 3").first().group_size == 2
+    with pytest.raises(ValueError):
+        exact.exact_duplicates(docs((5, "ab")), digest=same, state_dir=f"{tmp_path}/state")
+
+
+def test_many_hits_are_compared_without_sending_them(spark, tmp_path, monkeypatch):
+    rows = [(n, f"text {n % 7}" if n % 3 else f"own {n}", f"____{n}") for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, ____x string").write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    found = []
+    for limit in (exact.SENT_BYTES, 0):
+        monkeypatch.setattr(exact, "SENT_BYTES", limit)
+        found.append((sorted(tuple(r) for r in exact.exact_duplicates(docs).collect()), sorted(tuple(r) for r in exact.drop_exact_duplicates(docs).collect())))
+    assert found[0] == found[1] and len(found[0][1]) == 20 + 7
+
+
 @given(st.text(alphabet="a\\<|im_startend>\nn", max_size=40), st.text(alphabet="u\\<|>\nn", max_size=10))
 @settings(max_examples=300, deadline=None)
 def test_templates_are_reversible(text, role):
