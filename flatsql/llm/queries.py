@@ -103,6 +103,20 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(24 + length(replace({_ESCAPED.format('role')}, chr(10), '\\n')) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op9_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 800)) AS k
+              FROM (SELECT *, unnest(range(0, len(x) // 2 - 399)) AS p FROM d WHERE len(x) >= 800)),
+        m AS (SELECT doc_id, p FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+        g AS (SELECT doc_id, p, sum(CASE WHEN p <= q + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+              FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM m)),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, run),
+        l AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+        k AS (SELECT doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head,
+                     max(b) AS last, sum(b - a) AS gone, count(*) AS runs FROM l JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op10_decontamination": f"""
         WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS10} AS w FROM benchmark),
         q AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_aggregate(w[s : s + least(len(w), 13) - 1], 'string_agg', ' ') AS k
