@@ -1,14 +1,14 @@
 """Benchmark decontamination over a positional inverted index of the training texts.
 
 The index is cut into segments, each of a bounded number of text bytes and one row of a table in shared
-storage: a segment lists its documents and, for every term that the test items use, the sorted positions
-at which it stands. Positions run through the segment's documents with a gap between them, so that no match
-crosses from one to the next. A phrase is found by taking the positions of its globally rarest term, shifting
-them to where the phrase would start and keeping those at which every other term, rarest first, stands at
-its offset.
-
-The test items are gone through in blocks of BLOCK_BYTES of text: what is sent to the workers is so bounded
-whatever the number of items, and every item is held against all documents.
+storage: a segment lists its documents and, for every term, the sorted positions at which it stands. Positions
+run through the segment's documents with a gap between them, so that no match crosses from one to the next. A
+phrase is found by taking the positions of its globally rarest term, shifting them to where the phrase would
+start and keeping those at which every other term, rarest first, stands at its offset.
+
+The index is built once and serves any number of test items. These are gone through in blocks of BLOCK_BYTES of
+text: what is sent to the workers is so bounded whatever the number of items, and every item is held against all
+documents.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flatsql.llm.common import Scratch, slices
 
@@ -60,47 +62,43 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, limit: int
     yield held
 
 
-INDEX = "doc_ids array<{0}>, rows array<long>, n_words array<long>, bases array<long>, terms array<int>, counts array<long>, positions binary"
+INDEX = "doc_ids array<{0}>, rows array<long>, n_words array<int>, bases array<int>, terms array<binary>, counts array<int>, positions binary"
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW) -> DataFrame:
-    """A row for each segment; positions holds the terms' postings one after another, counts their lengths."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW) -> DataFrame:
+    """A row for each segment; positions holds the terms' postings one after another, counts their lengths.
+
+    Null texts have no words; repeated rows are separate documents. Windows of more than `gap` words may not be sought.
+    """
     kind = docs.schema[id_col].dataType
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def segment(held: list[tuple]) -> pa.RecordBatch:
-        find = sent.value.get
-        n_words, bases, found, base = [], [], [], 0
-        for _, text, _ in held:
-            split = words(text)
-            ids = np.array([find(w, -1) for w in split], np.int32)
-            at = np.flatnonzero(ids >= 0)
-            found.append((ids[at], at + base))
-            n_words.append(len(split))
-            bases.append(base)
-            base += len(split) + gap
-        ids, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_ids", pa.list_(to_arrow_type(kind))), ("rows", pa.list_(pa.int64())), ("n_words", ints), ("bases", ints), ("terms", pa.list_(pa.binary())), ("counts", ints), ("positions", pa.binary())])
+
+    def segment(held: list[tuple], numbers: list[np.ndarray], terms: dict[bytes, int]) -> pa.RecordBatch:
+        n_words = np.array([len(x) for x in numbers], np.int32)
+        bases = np.cumsum(n_words + gap) - (n_words + gap)
+        ids = np.concatenate(numbers)
+        at = np.arange(len(ids)) + np.repeat(bases - (np.cumsum(n_words) - n_words), n_words)
         order = np.argsort(ids, kind="stable")
-        terms, counts = np.unique(ids, return_counts=True)
-        rows = [[x[0] for x in held], [x[2] for x in held], n_words, bases, terms, counts]
+        rows = [[x[0] for x in held], [x[1] for x in held], n_words, bases.astype(np.int32), list(terms), np.bincount(ids, minlength=len(terms)).astype(np.int32)]
         columns = [pa.array([x], type=t) for x, t in zip(rows, schema.types[:6], strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([at[order].astype("<i8").tobytes()], pa.binary())], schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("doc_ids", pa.list_(to_arrow_type(kind))), ("rows", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("bases", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("positions", pa.binary())])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([at[order].astype("<i4").tobytes()], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, numbers, terms, size = [], [], {}, 0
         for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(row)
-                size += len(row[1] or "")
+            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                split = words(text)
+                for word in set(split):
+                    terms.setdefault(word, len(terms))
+                held.append((doc_id, row))
+                numbers.append(np.fromiter(map(terms.__getitem__, split), np.int32, len(split)))
+                size += len(text or "")
                 if size >= SEGMENT_BYTES:
-                    yield segment(held)
-                    held, size = [], 0
+                    yield segment(held, numbers, terms)
+                    held, numbers, terms, size = [], [], {}, 0
         if held:
-            yield segment(held)
+            yield segment(held, numbers, terms)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     return rows.mapInArrow(run, INDEX.format(kind.simpleString()))
@@ -109,10 +107,11 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id"
 class Postings:
     """A segment's lists, and searches of them."""
 
-    def __init__(self, terms: list[int], counts: list[int], positions: bytes):
-        ends = np.cumsum(counts)
-        every = np.frombuffer(positions, "<i8")
-        self.of = {t: every[e - n : e] for t, n, e in zip(terms, counts, ends.tolist(), strict=True)}
+    def __init__(self, terms: list[bytes], counts: np.ndarray, positions: bytes, sought: dict[bytes, int]):
+        """Of the terms sought only, by their numbers there."""
+        ends, every = np.cumsum(counts), np.frombuffer(positions, "<i4")
+        here = [(sought[t], i) for i, t in enumerate(terms) if t in sought]
+        self.of = {number: every[ends[i] - counts[i] : ends[i]] for number, i in here}
 
     def holds(self, term: int, at: np.ndarray) -> np.ndarray:
         listed = self.of.get(term)
@@ -162,8 +161,16 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
     slop None asks for exact phrases. Else a window also matches where all of its words stand, in any order, within
     `slop` words more than it has.
     """
-    totals = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # a row for each term of the block
-    frequency = {r["terms"]: r["n"] for r in totals}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = terms_sent.value
+        for batch in slices(batches, 1):
+            found = [(sought[t], n) for terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t, n in zip(terms, counts, strict=True) if t in sought]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64())], names=["term", "n"])
+
+    terms_sent = index.sparkSession.sparkContext.broadcast(block.terms)  # of a block of bounded size, as the plan below
+    totals = index.select("terms", "counts").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the block
+    frequency = {r["term"]: r["n"] for r in totals}
     plan: dict[int, list[tuple[tuple[int, ...], list[int], list[str | None]]]] = {}
     for window, ids in block.windows.items():
         if all(t in frequency for t in window):
@@ -174,37 +181,41 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            for doc_ids, rows, n_words, bases, terms, counts, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                postings = Postings(terms, counts, positions)
-                bounds = np.array(bases)
-                starts, ends, items = ([[] for _ in doc_ids] for _ in range(3))
-                for rare in terms:
-                    for window, order, ids in sent.value.get(rare, ()):
-                        if slop is None:
-                            found = [(s, s + len(window)) for s in postings.phrase(window, order).tolist()]
-                        else:
-                            found = postings.near(window, order, len(window) + slop)
-                        for s, e in found:
-                            doc = int(np.searchsorted(bounds, s, side="right")) - 1
-                            if e - bases[doc] <= n_words[doc]:
-                                starts[doc].append(s - bases[doc])
-                                ends[doc].append(e - bases[doc])
-                                items[doc].extend(ids)
-                items = [sorted(set(x), key=lambda i: (i is None, i or "")) for x in items]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, batch.schema.field(0).type.value_type), *(pa.array(x, t) for x, t in ((rows, pa.int64()), (n_words, pa.int64()), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())), (items, pa.list_(pa.string()))))], names=["doc_id", "row", "n_words", "starts", "ends", "item_ids"])
+            doc_ids, rows, n_words, bases, terms, counts, positions = (c.to_pylist()[0] for c in batch.columns)
+            postings = Postings(terms, np.array(counts, np.int64), positions, terms_sent.value)
+            bounds = np.array(bases)
+            starts, ends, items = ([[] for _ in doc_ids] for _ in range(3))
+            for rare in postings.of:
+                for window, order, ids in sent.value.get(rare, ()):
+                    if slop is None:
+                        found = [(s, s + len(window)) for s in postings.phrase(window, order).tolist()]
+                    else:
+                        found = postings.near(window, order, len(window) + slop)
+                    for s, e in found:
+                        doc = int(np.searchsorted(bounds, s, side="right")) - 1
+                        if e - bases[doc] <= n_words[doc]:
+                            starts[doc].append(s - bases[doc])
+                            ends[doc].append(e - bases[doc])
+                            items[doc].extend(ids)
+            items = [sorted(set(x), key=lambda i: (i is None, i or "")) for x in items]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, batch.schema.field(0).type.value_type), *(pa.array(x, t) for x, t in ((rows, pa.int64()), (n_words, pa.int64()), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())), (items, pa.list_(pa.string()))))], names=["doc_id", "row", "n_words", "starts", "ends", "item_ids"])
 
     return index.mapInArrow(run, HITS.format(kind.simpleString()))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, n_words, starts, ends, item_ids): one row per row of docs, whatever the number of blocks.
 
+    index: what build_index(docs) made, with a gap of window + slop at least, kept in a table; without it one is made.
+
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. Null texts
     have no words. Ids are compared as strings; items without id are one item, whose id is null and comes last.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     gap = window + (slop or 0)
-    found = [search(scratch.write(build_index(docs, block.terms, id_col, text_col, gap), f"index{n}"), block, slop) for n, block in enumerate(blocks(items, item_id_col, item_text_col, window, block_bytes))]
+    if index is None:
+        index = scratch.write(build_index(docs, id_col, text_col, gap), "index")
+    found = [search(index, block, slop) for block in blocks(items, item_id_col, item_text_col, window, block_bytes)]
     if len(found) == 1:
         return found[0]
     hits = [scratch.write(x, f"hits{n}") for n, x in enumerate(found)]
@@ -245,7 +256,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     found = matches(docs, items, id_col, text_col, window=window)
     out = found.mapInArrow(run, f"doc_id {kind}, row long, n_words long, n_hit long, n_items long, items_sha256 string")
-    bad = (F.col("n_hit") > 0) & (round(1 / share) * F.col("n_hit") >= F.col("n_words"))
+    part = Fraction(share).limit_denominator(1_000_000)
+    bad = (F.col("n_hit") > 0) & (part.denominator * F.col("n_hit") >= part.numerator * F.col("n_words"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"), "row")
 
 
