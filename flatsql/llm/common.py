@@ -55,13 +55,14 @@ class Scratch:
     """Tables written for one job in the shared folder.
 
     A written table cuts lineage and outlives executors. What the job returns reads its tables lazily,
-    so they stay until drop() or the end of the application.
+    so they stay until drop(), drop_scratch() or the end of the application.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.dir = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:8]}"
         atexit.register(self._at_exit)
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"
@@ -97,6 +98,15 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_MADE: list[Scratch] = []
+
+
+def drop_scratch() -> None:
+    """Removes the tables of all jobs so far, for long sessions: results that were not written can then not be read any more."""
+    while _MADE:
+        _MADE.pop().drop()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Parts of the batches, of which a worker makes Python objects one at a time."""
     return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))

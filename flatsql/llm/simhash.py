@@ -41,7 +41,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        hashes = [digest(whole[s:e], SEED) for s, e in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        hashes = [digest(whole[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
     counts = np.zeros(BITS, np.int64)
     raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(raw), 255):  # 255 ones still fit a byte

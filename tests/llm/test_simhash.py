@@ -25,6 +25,15 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_other_shingle_sizes(size):
+    for text in ("", "a", "a b", "a b c d e f a b"):
+        words = text.encode().split()
+        grams = [b" ".join(words[n : n + size]) for n in range(max(1, len(words) - size + 1))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        assert simhash.fingerprint(text, size) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_long_text_and_spark_hash(spark):
     text = "x " * 2000 + "end"
     assert simhash.fingerprint(text) == slow_fingerprint(text)
