@@ -20,6 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,8 +34,13 @@ BLOCK_BYTES = 1 << 20
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def spaced(text: str | None) -> bytes:
+    """The text's words, apart by spaces."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(WORDS)
+
+
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
+    return spaced(text).split()
 
 
 @dataclass
@@ -74,44 +80,55 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ints = pa.list_(pa.int32())
     schema = pa.schema([("doc_ids", pa.list_(to_arrow_type(kind))), ("rows", pa.list_(pa.int64())), ("n_words", ints), ("bases", ints), ("terms", pa.list_(pa.binary())), ("counts", ints), ("positions", pa.binary())])
 
-    def segment(held: list[tuple], numbers: list[np.ndarray], terms: dict[bytes, int]) -> pa.RecordBatch:
-        n_words = np.array([len(x) for x in numbers], np.int32)
+    def segment(held: list[tuple]) -> pa.RecordBatch:
+        texts = pa.array([spaced(text) for _, text, _ in held], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten()
+        filled = pc.not_equal(flat, "")
+        doc = np.repeat(np.arange(len(held)), pc.list_value_length(split).to_numpy())
+        n_words = np.bincount(doc[filled.to_numpy(zero_copy_only=False)], minlength=len(held))
+        coded = flat.filter(filled).dictionary_encode()
+        ids, terms = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary()).cast(pa.binary())
         bases = np.cumsum(n_words + gap) - (n_words + gap)
-        ids = np.concatenate(numbers)
         at = np.arange(len(ids)) + np.repeat(bases - (np.cumsum(n_words) - n_words), n_words)
         order = np.argsort(ids, kind="stable")
-        rows = [[x[0] for x in held], [x[1] for x in held], n_words, bases.astype(np.int32), list(terms), np.bincount(ids, minlength=len(terms)).astype(np.int32)]
-        columns = [pa.array([x], type=t) for x, t in zip(rows, schema.types[:6], strict=True)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([at[order].astype("<i4").tobytes()], pa.binary())], schema=schema)
+        rows = [[x[0] for x in held], [x[2] for x in held], n_words.astype(np.int32), bases.astype(np.int32)]
+        columns = [pa.array([x], type=t) for x, t in zip(rows, schema.types[:4], strict=True)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), x) for x in (terms, pa.array(np.bincount(ids, minlength=len(terms)).astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([*columns, *lists, pa.array([at[order].astype("<i4").tobytes()], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, numbers, terms, size = [], [], {}, 0
+        held, size = [], 0
         for batch in slices(batches):
-            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                split = words(text)
-                for word in set(split):
-                    terms.setdefault(word, len(terms))
-                held.append((doc_id, row))
-                numbers.append(np.fromiter(map(terms.__getitem__, split), np.int32, len(split)))
-                size += len(text or "")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                size += len(row[1] or "")
                 if size >= SEGMENT_BYTES:
-                    yield segment(held, numbers, terms)
-                    held, numbers, terms, size = [], [], {}, 0
+                    yield segment(held)
+                    held, size = [], 0
         if held:
-            yield segment(held, numbers, terms)
+            yield segment(held)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     return rows.mapInArrow(run, INDEX.format(kind.simpleString()))
 
 
+def among(terms: pa.Array, sought: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms are sought, and their numbers there."""
+    found = pc.index_in(terms, value_set=sought)
+    here = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+    return here, found.drop_null().to_numpy()
+
+
 class Postings:
     """A segment's lists, and searches of them."""
 
-    def __init__(self, terms: list[bytes], counts: np.ndarray, positions: bytes, sought: dict[bytes, int]):
+    def __init__(self, terms: pa.Array, counts: np.ndarray, positions: pa.Buffer, sought: pa.Array):
         """Of the terms sought only, by their numbers there."""
-        ends, every = np.cumsum(counts), np.frombuffer(positions, "<i4")
-        here = [(sought[t], i) for i, t in enumerate(terms) if t in sought]
-        self.of = {number: every[ends[i] - counts[i] : ends[i]] for number, i in here}
+        ends, every = np.cumsum(counts, dtype=np.int64), np.frombuffer(positions, "<i4")
+        here, number = among(terms, sought)
+        bounds = zip(number.tolist(), (ends[here] - counts[here]).tolist(), ends[here].tolist(), strict=True)
+        self.of = {n: every[a:b] for n, a, b in bounds}
 
     def holds(self, term: int, at: np.ndarray) -> np.ndarray:
         listed = self.of.get(term)
@@ -163,12 +180,12 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = terms_sent.value
         for batch in slices(batches, 1):
-            found = [(sought[t], n) for terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t, n in zip(terms, counts, strict=True) if t in sought]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64())], names=["term", "n"])
+            terms, counts = (batch.column(i).flatten() for i in range(2))
+            here, number = among(terms, terms_sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), counts.take(pa.array(here)).cast(pa.int64())], names=["term", "n"])
 
-    terms_sent = index.sparkSession.sparkContext.broadcast(block.terms)  # of a block of bounded size, as the plan below
+    terms_sent = index.sparkSession.sparkContext.broadcast(pa.array(list(block.terms), pa.binary()))  # of a block of bounded size, as the plan below
     totals = index.select("terms", "counts").mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the block
     frequency = {r["term"]: r["n"] for r in totals}
     plan: dict[int, list[tuple[tuple[int, ...], list[int], list[str | None]]]] = {}
@@ -181,8 +198,8 @@ def search(index: DataFrame, block: Block, slop: int | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            doc_ids, rows, n_words, bases, terms, counts, positions = (c.to_pylist()[0] for c in batch.columns)
-            postings = Postings(terms, np.array(counts, np.int64), positions, terms_sent.value)
+            doc_ids, rows, n_words, bases = (batch.column(i).flatten().to_pylist() for i in range(4))
+            postings = Postings(batch.column(4).flatten(), batch.column(5).flatten().to_numpy(), batch.column(6)[0].as_buffer(), terms_sent.value)
             bounds = np.array(bases)
             starts, ends, items = ([[] for _ in doc_ids] for _ in range(3))
             for rare in postings.of:

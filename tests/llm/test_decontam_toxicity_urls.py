@@ -156,3 +156,32 @@ def test_items_without_id_are_searched(spark):
         found = {r.doc_id: (r.item_ids, decontam.covered(r.starts, r.ends)) for r in decontam.matches(docs, items, window=4, block_bytes=block_bytes).collect()}
         assert found == {1: (["i", None], 4), 2: ([None], 4), 3: ([], 0)}
     assert [r.doc_id for r in decontam.drop_contaminated(docs, items).collect()] == [3]
+
+
+def test_a_kept_index_serves_other_items(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d x " * 3), (2, "e, F-g h"), (None, None), (4, "!!!")], "doc_id long, text string")
+    decontam.build_index(docs, gap=6).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    for text, want in (("a b c d", {1: 12, 2: 0, None: 0, 4: 0}), ("f g h", {1: 0, 2: 3, None: 0, 4: 0}), ("", {1: 0, 2: 0, None: 0, 4: 0})):
+        items = spark.createDataFrame([("i", text)], "item_id string, text string")
+        found = decontam.matches(docs, items, window=4, index=index).collect()
+        assert {r.doc_id: decontam.covered(r.starts, r.ends) for r in found} == want
+
+
+def test_shares_are_exact(spark):
+    docs = spark.createDataFrame([(1, "a b c " + "x " * 97), (2, "a b c " + "x " * 98)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    assert {r.doc_id: r.contaminated for r in decontam.contamination(docs, items, share=0.03).collect()} == {1: True, 2: False}
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from flatsql.llm import common
+
+    job = common.Scratch(spark, "dropped")
+    job.write(spark.range(3), "t")
+    folder = job.dir.removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.drop_scratch()
+    assert not os.path.isdir(folder)
