@@ -53,7 +53,7 @@ def located(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column, Colum
 
 def _seen(spark: SparkSession, base: str, rows_schema: object) -> DataFrame:
     """What the state in the folder holds after it has seen every row of its table "rows": (digest, top, first, group_size)."""
-    stream = spark.readStream.schema(rows_schema).parquet(f"{base}/rows")
+    stream = spark.readStream.schema(rows_schema).parquet(f"{base}/rows/*")
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.min(F.struct("run", "locator")).alias("first"), F.count("*").alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -66,11 +66,11 @@ def _seen(spark: SparkSession, base: str, rows_schema: object) -> DataFrame:
     return updates.groupBy("digest").agg(F.max("top").alias("top"), F.min("first").alias("first"), F.max("group_size").alias("group_size"))
 
 
-def _run_number(spark: SparkSession, base: str) -> int:
-    """How many tables the state has seen."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/files")
+def _listed(spark: SparkSession, path: str) -> int | None:
+    """How many entries a folder has; None: there is none. A file has one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sum(1 for _ in files.listStatus(target)) if files.exists(target) else 0
+    return len(files.listStatus(target)) if files.exists(target) else None
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
@@ -83,18 +83,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state_dir: a shared folder that keeps the state. A later call with the same folder goes on from it: its rows are
     held against those of all earlier tables too, which must still lie where they were, under the same column names;
     what earlier calls returned does not change. A digest that different texts of different tables share is an error.
+    A call that failed is repeated with the same docs: what it had fed to the state is not fed again.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact")
     base = (state_dir or scratch.path("stream")).rstrip("/")
-    run = _run_number(spark, base)
+    run = _listed(spark, f"{base}/files") or 0  # a call lists its files last, so those that failed are not counted
     docs, path, locator = located(docs, Scratch(spark, "exact-content") if state_dir is None else _Kept(spark, f"{base}/content/run={run}"))
     text = ascii_lower(text_of(text_col))
     hashed = [digest(text).alias("digest"), F.lit(None).cast("string").alias("sha") if digest is sha256 else sha256(text).alias("sha")]
     made = docs.select(F.col(id_col).alias("doc_id"), *hashed, locator.alias("locator"), F.lit(run).alias("run"))
-    made.write.mode("append").parquet(f"{base}/rows")
-    if state_dir is not None:
-        docs.select(path.alias("path")).distinct().select(F.xxhash64("path").alias("file"), "path").write.parquet(f"{base}/files/run={run}")
-    rows = spark.read.schema(made.schema).parquet(f"{base}/rows").where(F.col("run") == run)
+    if _listed(spark, f"{base}/rows/{run}/_SUCCESS") is None:
+        made.write.mode("overwrite").parquet(f"{base}/rows/{run}")
+    rows = spark.read.schema(made.schema).parquet(f"{base}/rows/{run}")
     seen = scratch.write(_seen(spark, base, made.schema), "seen")
 
     hits = seen.where("group_size > 1").select("digest")
@@ -107,6 +107,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     clash = scratch.write(compared.where("least <> most").select("digest"), "clash")
     if run:
         _compare_earlier(spark, scratch, base, run, seen, rows, compared, text_col)
+    if state_dir is not None:
+        docs.select(path.alias("path")).distinct().select(F.xxhash64("path").alias("file"), "path").write.mode("overwrite").parquet(f"{base}/files/run={run}")
     if clash.isEmpty():
         done = rows.join(seen, "digest")
     else:  # the digest of different texts is the same: those rows are grouped by the texts themselves
@@ -120,11 +122,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 class _Kept(Scratch):
-    """A table in the caller's folder, which stays."""
+    """A table in the caller's folder, which stays; it is written once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.dir = spark, folder
 
+    def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        if _listed(self.spark, f"{self.path(name)}/_SUCCESS") is not None:
+            return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return super().write(df, name, partition_by)
+
 
 def _compare_earlier(spark: SparkSession, scratch: Scratch, base: str, run: int, seen: DataFrame, rows: DataFrame, compared: DataFrame, text_col: str) -> None:
     """Reads the rows of earlier tables that this table's rows hit, by their locators, and compares their texts."""

@@ -40,6 +40,23 @@ def test_later_tables_go_on_from_the_state(spark, tmp_path):
     assert exact.drop_exact_duplicates(spark.createDataFrame([(6, "one")], "doc_id long, text string"), state_dir=f"{tmp_path}/state").count() == 0
 
 
+def test_a_call_that_failed_is_repeated(spark, tmp_path, monkeypatch):
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact.exact_duplicates(docs((1, "a"), (2, "b")), state_dir=f"{tmp_path}/state")
+    plain = exact._seen
+
+    def broken(*args):
+        plain(*args)  # the state has taken the rows
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact, "_seen", broken)
+    with pytest.raises(RuntimeError):
+        exact.exact_duplicates(docs((3, "A"), (4, "c")), state_dir=f"{tmp_path}/state")
+    monkeypatch.setattr(exact, "_seen", plain)
+    got = exact.exact_duplicates(docs((3, "A"), (4, "c")), state_dir=f"{tmp_path}/state").collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(3, 3, 2, True), (4, 4, 1, True)}
+
+
 def test_texts_of_earlier_tables_are_compared(spark, tmp_path):
     same = lambda t: F.substring(F.sha2(F.substring(t, 1, 1), 256), 1, 8)  # noqa: E731  texts that start alike share a digest
     docs = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
