@@ -145,7 +145,8 @@ def materialise(docs: DataFrame, out_dir: str | None = None, id_col: str = "doc_
             if (slot != np.arange(expected, expected + len(slot))).any():
                 raise RuntimeError(f"a slot from {expected} on is missing")
             expected += len(slot)
-            raw = memoryview(tokens.buffers()[2])[tokens.offset * stride : (tokens.offset + len(tokens)) * stride]
+            start = np.frombuffer(tokens.buffers()[1], np.int64 if pa.types.is_large_binary(tokens.type) else np.int32)[tokens.offset]
+            raw = memoryview(tokens.buffers()[2])[start : start + len(tokens) * stride]
             stream.write(raw)
             crc = np.fromiter((zlib.crc32(raw[at : at + stride]) for at in range(0, len(raw), stride)), np.int64, len(tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(slot), shard)), pa.array(slot % per_shard * stride), *(batch.column(i) for i in (1, 2, 3)), pa.array(crc)], names=["slot", "shard", "offset", "doc_id", "part", "n_tokens", "crc32"])

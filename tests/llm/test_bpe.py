@@ -64,3 +64,42 @@ def test_shards(spark, tmp_path):
         assert OURS.decode(ids.tolist()) == (text or "").encode()
     assert [r.slot for r in sorted(index, key=lambda r: (r.shard, r.offset))] == list(range(len(index)))
     assert materialise.materialise(docs.limit(0), f"{tmp_path}/none").count() == 0
+
+
+@given(st.lists(st.text(alphabet="ab's\n té²日!x1 ", max_size=60), min_size=1, max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_few_remembered_pieces(texts):
+    small = bpe.Encoder(RANKS, public_tokenizers.PATTERN, remembered=3)
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_many(texts)] == [THEIRS.encode_ordinary(t) for t in texts]
+
+
+def test_long_texts_are_cut_where_nothing_matches_across(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    texts = ["word two's  \n three " * 40, "x" * 400, None, "", " " * 300 + "a b", "a" * 49 + " \n" * 60]
+    assert [np.frombuffer(x, "<u4").tolist() for x in OURS.encode_many(texts)] == [THEIRS.encode_ordinary(t or "") for t in texts]
+    assert all("".join(bpe.cut_long(t or "", 50)) == (t or "") for t in texts)
+
+
+def test_other_patterns():
+    pattern = r"\p{N}{1,3}|[^\p{N}]+"
+    ours, theirs = bpe.Encoder(RANKS, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    for text in ("12345 abc", "", "日本 1 22 x"):
+        assert ours.encode(text) == theirs.encode_ordinary(text)
+    with pytest.raises(ValueError):
+        bpe.Encoder(RANKS, r"\p{L}+").encode("a b")
+
+
+def test_shards_lie_where_spark_resolves_the_path(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", f"file://{tmp_path}")
+    try:
+        assert materialise._qualified(spark, "/some/where") == "file:///some/where"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+    index = materialise.materialise(docs, f"file://{tmp_path}/shards", length=4, per_shard=2).collect()
+    assert len(index) == 1 and [s for s, _ in materialise.read(f"file://{tmp_path}/shards")] == [0]
+    (tmp_path / "shards" / ".attempt-7").write_bytes(b"x")  # left by a lost task
+    materialise.materialise(docs, f"file://{tmp_path}/shards", length=4, per_shard=2)
+    assert sorted(x.name for x in (tmp_path / "shards").iterdir() if not x.name.startswith(".shard") and not x.name.endswith(".crc")) == ["manifest.json", "shard-00000000.bin"]
