@@ -13,7 +13,6 @@ documents.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -262,17 +261,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     n_hit counts words inside any match. n_items counts all items without id as one, items_sha256 leaves it out. contaminated: some word is hit, and at least `share` of all words.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n_words, starts, ends, items = (batch.column(i).to_pylist() for i in range(2, 6))
-            hit = [covered(s, e) for s, e in zip(starts, ends, strict=True)]
-            sha = [hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
     found = matches(docs, items, id_col, text_col, window=window)
-    out = found.mapInArrow(run, f"doc_id {kind}, row long, n_words long, n_hit long, n_items long, items_sha256 string")
+    # In the JVM, so that a task keeps one Python process.
+    spans = F.array_sort(F.arrays_zip("starts", "ends"))
+    start = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("reach"))
+    step = lambda so_far, s: F.struct((so_far["hit"] + F.greatest(F.lit(0), s["ends"] - F.greatest(s["starts"], so_far["reach"]))).alias("hit"), F.greatest(so_far["reach"], s["ends"]).alias("reach"))
+    sha = F.sha2(F.array_join(F.filter("item_ids", lambda i: i.isNotNull()), ","), 256)
+    out = found.select("doc_id", "row", "n_words", F.aggregate(spans, start, step)["hit"].alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), sha.alias("items_sha256"))
     part = Fraction(share).limit_denominator(1_000_000)
     bad = (F.col("n_hit") > 0) & (part.denominator * F.col("n_hit") >= part.numerator * F.col("n_words"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", bad.alias("contaminated"), "row")

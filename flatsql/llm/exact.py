@@ -21,6 +21,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # a store then takes the disk that it fills
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # all of an executor's stores together
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: Digests or locators that are sent to all workers take so many bytes at most; beyond, both sides are dealt out by them.
 SENT_BYTES = 32 << 20

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,11 +179,11 @@ def toxicity(model: Model, text_col: str = "text") -> Column:
     """The score of a text column, 0 to 1; null is scored like an empty text."""
     weights, bias = model.weights, model.bias
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         known: dict[bytes, float] = {}
         out = []
-        for text in texts:
+        for text in (x for at in range(0, len(texts), 500) for x in texts.slice(at, 500).to_pylist()):
             z = bias
             for w in words(text):
                 x = known.get(w)
@@ -194,7 +193,7 @@ def toxicity(model: Model, text_col: str = "text") -> Column:
                     x = known[w] = float(weights[zlib.crc32(w) & (BUCKETS - 1)])
                 z += x
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
     return score(F.col(text_col))
 
