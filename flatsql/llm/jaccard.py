@@ -1,18 +1,20 @@
-"""Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates share one of 20 MinHash keys of 4 minima each: a pair at 0.8 misses all keys with a chance of
-(1 - 0.8^4)^20, 3 in 100,000, and a closer pair more rarely (at 0.9: 1 in 10^9). No other pair is left out, and every
-link is verified on the whole sets, of 32-bit hashes: two texts of n shingles seem more alike than they are by a share
-of n / 2^32. In a bucket of over HUGE chunks, first all members are held against one of them, a few times over, each
-time another one; that joins large groups at linear cost. What differs after that is compared in blocks of bounded size,
-in which products of incidence matrices count what two sets share; of a block only links come out that join groups. The
-members of a bucket's largest group are not compared with one another, so that the cost is that of all members times
-those outside of it. Buckets with the same members, as close copies have them under many keys, are compared once.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates are the components of wide SimHash fingerprints (simhash.py): fingerprints that share a key and lie within
+135 of 512 bits, which sets at 0.5 or more do, link. A pair at 0.8 is missed with a chance of 3 in 100,000 at most, a closer
+one more rarely. Then, within each component, every link is verified on the whole sets, of 32-bit hashes: two texts of n
+shingles seem more alike than they are by a share of n / 2^32. In a component of over HUGE chunks, first all members are
+held against one of them, a few times over, each time another one; that joins large groups at linear cost. What differs
+after that is compared in blocks of bounded size, in which products of incidence matrices count what two sets share; of a
+block only links come out that join groups. The members of a component's largest group are not compared with one another,
+so that the cost is that of all members times those outside of it. Buckets of too many fingerprints are searched in the
+same way, by differing bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flatsql.llm import simhash
 from flatsql.llm.common import Scratch, batched, rows_of, slices
 from flatsql.llm.components import connected_components
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, MINIMA = 20, 4
 #: Rounds in which the members of buckets of over so many chunks are held against one of them.
 STARS, HUGE = 4, 8
 #: Members of a block's half, and bytes of their sets, about.
 CHUNK, CHUNK_BYTES = 512, 8 << 20
 SLAB = 4096
-SEED = 42
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * MINIMA), dtype=np.uint64)
-_XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -47,15 +46,6 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ h >> np.uint64(32))
 
 
-def band_keys(held: np.ndarray) -> np.ndarray:
-    """BANDS int64 keys: each a hash of its number and MINIMA minima."""
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
-    for at in range(0, len(held), 1024):
-        np.minimum(least, ((held[at : at + 1024, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
-    least = least.astype("<u8").reshape(BANDS, MINIMA)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], np.uint64).view(np.int64)
-
-
 def packed(held: np.ndarray) -> bytes:
     """The sorted distinct upper halves of the hashes."""
     return np.unique((held >> np.uint64(32)).astype("<u4")).tobytes()
@@ -66,22 +56,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int = 0) -> DataFrame:
+    """(doc_id, keys, print, held): SimHash keys for a table of so many rows, the fingerprint and the set."""
+    bits, keys = simhash.plan(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(x, shingle) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(map(packed, sets), pa.binary())], names=["doc_id", "keys", "held"])
+            if not sets:
+                continue
+            prints = np.stack([simhash.wide_fingerprint(s) for s in sets])
+            values = simhash.wide_keys(prints, bits, keys)
+            columns = [pa.array(list(values), pa.list_(pa.int64())), pa.array([x.tobytes() for x in np.packbits(prints, axis=1, bitorder="little")], pa.binary()), pa.array(map(packed, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "keys", "print", "held"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, keys array<long>, held binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, keys array<long>, print binary, held binary")
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, measure: Measure) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((a, b) for a, b, x, y in rows_of(batches, "a", "b", "x", "y") if similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least)
+        found = ((a, b) for a, b, x, y in rows_of(batches, "a", "b", "x", "y") if measure.pair(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least))
         yield from batched(found, PAIR)
 
     side = {c: sets.select(F.col("node").alias(c), F.col("held").alias(to)).hint("merge") for c, to in (("a", "x"), ("b", "y"))}
@@ -110,11 +108,27 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cross_links(nodes: list[int], groups: list, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
-    """Links at `least` or more that join the groups which all such links between members of different groups join."""
+def similar_sets(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Which sets have a similarity of `least` or more to which."""
     sizes = np.array([len(s) for s in sets], np.float64)
     both = shared_counts(sets)
-    near = both / (sizes[:, None] + sizes - both) >= least
+    return both / (sizes[:, None] + sizes - both) >= least
+
+
+class Measure(NamedTuple):
+    """When two of what `held` holds are linked: as a pair, and of all pairs of a list, given a bound."""
+
+    pair: Callable[[np.ndarray, np.ndarray, float], bool]
+    matrix: Callable[[list[np.ndarray], float], np.ndarray]
+
+
+JACCARD = Measure(lambda a, b, least: similarity(a, b) >= least, similar_sets)
+HAMMING = Measure(lambda a, b, most: int(np.bitwise_count(a ^ b).sum()) <= most, lambda prints, most: simhash.near_matrix(np.stack(prints), most))
+
+
+def cross_links(nodes: list[int], groups: list, sets: list[np.ndarray], least: float, measure: Measure = JACCARD) -> Iterator[tuple[int, int]]:
+    """Links at `least` or more that join the groups which all such links between members of different groups join."""
+    near = measure.matrix(sets, least)
     members: dict = {}
     for at, g in enumerate(groups):
         members.setdefault(g, []).append(at)
@@ -135,7 +149,7 @@ def cross_links(nodes: list[int], groups: list, sets: list[np.ndarray], least: f
                     yield nodes[at], nodes[to]
 
 
-def similar_groups(rows: DataFrame, scratch: Scratch, least: float = LEAST, chunk: int = CHUNK, stars: int = STARS, huge: int = HUGE) -> DataFrame:
+def similar_groups(rows: DataFrame, scratch: Scratch, least: float = LEAST, chunk: int = CHUNK, stars: int = STARS, huge: int = HUGE, measure: Measure = JACCARD) -> DataFrame:
     """rows(node long, keys, held) -> (node, root) for every node that links to another at `least` or more, directly or not."""
     keyed = rows.select("node", F.length("held").alias("size"), F.explode("keys").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
@@ -155,10 +169,10 @@ def similar_groups(rows: DataFrame, scratch: Scratch, least: float = LEAST, chun
         if left.isEmpty():
             break
         pairs = large.join(left.hint("merge"), "bucket").where("root <> one_root").select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()
-        found = scratch.write(_verified(scratch.write(pairs, f"pairs{turn}"), sets, least), f"star{turn}")
+        found = scratch.write(_verified(scratch.write(pairs, f"pairs{turn}"), sets, least, measure), f"star{turn}")
         links = found if links is None else links.union(found)
         roots = connected_components(links, scratch, f"cc{turn}")
-    found = scratch.write(_all_pairs(scratch.write(named(members), "named"), sets, scratch, least, chunk), "links")
+    found = scratch.write(_all_pairs(scratch.write(named(members), "named"), sets, scratch, least, chunk, measure), "links")
     roots = connected_components(found if links is None else links.union(found), scratch, "cc")
     return roots
 
@@ -167,7 +181,7 @@ def _chunks(n: Column, size: Column, chunk: int) -> Column:
     return F.ceil(F.greatest(n / chunk, size / CHUNK_BYTES)).cast("int")
 
 
-def _all_pairs(named: DataFrame, sets: DataFrame, scratch: Scratch, least: float, chunk: int) -> DataFrame:
+def _all_pairs(named: DataFrame, sets: DataFrame, scratch: Scratch, least: float, chunk: int, measure: Measure) -> DataFrame:
     """named(bucket, node, root, size, chunks) -> links within buckets whose members have several roots.
 
     Small buckets are compared in one call. Of the others, the members of the most frequent root and the rest are
@@ -190,7 +204,7 @@ def _all_pairs(named: DataFrame, sets: DataFrame, scratch: Scratch, least: float
     many = cut.select("bucket", "node", "root", F.explode(blocks).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (pair for (held,) in rows_of(batches, "members") for pair in cross_links([x["node"] for x in held], [x["root"] for x in held], [np.frombuffer(x["held"], "<u4") for x in held], least))
+        found = (pair for (held,) in rows_of(batches, "members") for pair in cross_links([x["node"] for x in held], [x["root"] for x in held], [np.frombuffer(x["held"], "<u4") for x in held], least, measure))
         yield from batched(found, PAIR)
 
     dealt = some.union(many).join(sets.hint("merge"), "node")
@@ -198,17 +212,39 @@ def _all_pairs(named: DataFrame, sets: DataFrame, scratch: Scratch, least: float
     return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
+def components(rows: DataFrame, scratch: Scratch, distance: int = simhash.WIDE_DISTANCE, bucket: int = simhash.BUCKET) -> DataFrame:
+    """rows(node long, keys, print) -> (node, root) for every node whose fingerprint links to another's, directly or not."""
+    prints = rows.groupBy("print").agg(F.min(F.struct("node", "keys")).alias("first"))
+    prints = scratch.write(prints.select("print", "first.node", "first.keys"), "prints")
+    copies = rows.select(F.col("node").alias("b"), "print").join(prints.select(F.col("node").alias("a"), "print").hint("merge"), "print").where("a <> b")
+    links = [scratch.write(copies.select("a", "b"), "copies")]
+    found, rest = simhash.wide_links(prints, scratch, distance, bucket)
+    links += found
+    rest = scratch.write(rest.groupBy("node").agg(F.collect_list("bucket").alias("keys"), F.first("print").alias("held")), "rest")
+    if not rest.isEmpty():
+        roots = similar_groups(rest, Scratch(rest.sparkSession, "jaccard-rest"), distance, measure=HAMMING)
+        links.append(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return connected_components(every, scratch, "prints-cc")
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """docs without the rows whose group of near copies has a smaller doc_id.
 
-    Groups are what links at `least` or more connect. Texts without words are alike. Rows without an id stay; rows
-    that share an id share their fate.
+    Groups are what links at `least` or more connect, which must be 0.8 or more: SimHash's keys are for that. Texts
+    without words are alike. Rows without an id stay; rows that share an id share their fate.
     """
+    if least < LEAST:
+        raise ValueError(f"least must be {LEAST} or more")
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.write(_signed(docs, id_col, text_col, shingle).withColumn("node", F.monotonically_increasing_id()), "rows")
-    named = scratch.write(rows.select("node", "doc_id").join(similar_groups(rows, scratch, least).hint("merge"), "node"), "groups")
+    rows = scratch.write(_signed(docs, id_col, text_col, shingle, docs.count()).withColumn("node", F.monotonically_increasing_id()), "rows")
+    close = rows.select("node", "held").join(components(rows, scratch).withColumnRenamed("root", "bucket").hint("merge"), "node")
+    close = scratch.write(close.select("node", "held", F.array("bucket").alias("keys")), "close")
+    named = scratch.write(rows.select("node", "doc_id").join(similar_groups(close, scratch, least).hint("merge"), "node"), "groups")
     first = named.groupBy("root").agg(F.min("doc_id").alias("first"))
     gone = scratch.write(named.join(first.hint("merge"), "root").where("doc_id > first").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    for name in ("rows", "sets", "members"):
+    for name in ("rows", "prints", "close", "sets", "members"):
         scratch.remove(name)
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

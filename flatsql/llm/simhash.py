@@ -10,7 +10,9 @@ most 12 bits are free and a bucket holds 4096 fingerprints at most, so no bucket
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +28,11 @@ BITS = 64
 BLOCKS = 6
 BUCKET = 8192
 SEED = 42
+#: Bits of wide fingerprints, at how many differing bits they link, and the chance of missing a pair whose bits differ with a chance of DIFFER.
+WIDE, WIDE_DISTANCE, MISS, DIFFER = 512, 135, 3e-5, 0.1875
+PER_BUCKET = 256
+#: Keys in the shuffle at a time.
+ROUND = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -116,6 +123,111 @@ def _finer(mask: int, distance: int) -> list[int]:
     return block_masks(max(distance + 1, -(-len(free) // 4)), distance, free)
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bits, a byte each: 1 if set in over half the words that each of the hashes (uint64) is drawn out to; no hashes: 0."""
+    counts = np.zeros(WIDE, np.int64)
+    drawn = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # 255 ones still fit a byte
+        h = hashes[at : at + 255, None] + drawn
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (2 * counts > len(hashes)).astype(np.uint8)
+
+
+@cache
+def missed(bits: int, keys: int, differ: float = DIFFER, wide: int = WIDE, distance: int = WIDE_DISTANCE) -> float:
+    """The chance that two fingerprints lie over `distance` or share none of so many keys, each a choice of so many bits."""
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    total = 0.0
+    for d in range(wide + 1):
+        chance = math.exp(choose(wide, d) + d * math.log(differ) + (wide - d) * math.log(1 - differ))
+        total += chance * ((1 - math.exp(choose(wide - d, bits) - choose(wide, bits))) ** keys if d <= distance else 1)
+    return total
+
+
+def plan(rows: int) -> tuple[int, int]:
+    """Bits of a key and number of keys for a table of so many rows."""
+    bits = max(4, min(22, round(math.log2(max(rows, 1) / PER_BUCKET))))
+    keys = 1
+    while missed(bits, keys) > MISS:
+        keys += max(1, keys // 16)
+    return bits, keys
+
+
+@cache
+def _choices(bits: int, keys: int) -> np.ndarray:
+    return np.stack([np.random.default_rng((SEED, n)).permutation(WIDE)[:bits] for n in range(keys)])
+
+
+def wide_keys(prints: np.ndarray, bits: int, keys: int) -> np.ndarray:
+    """For each row of prints (a byte a bit) its int64 keys: the chosen bits, below the number of the choice."""
+    values = np.arange(keys, dtype=np.int64) << bits
+    for n, chosen in enumerate(_choices(bits, keys).T):
+        values = values + (prints[:, chosen].astype(np.int64) << n)
+    return values
+
+
+def near_matrix(prints: np.ndarray, distance: int) -> np.ndarray:
+    """Which rows of prints (uint64 words) lie within `distance` of which."""
+    apart = np.zeros((len(prints),) * 2, np.uint16)
+    for word in prints.T:
+        apart += np.bitwise_count(word[:, None] ^ word)
+    return apart <= distance
+
+
+def wide_forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that join what all pairs of rows within `distance` join."""
+    if len(prints) <= 2 * PER_BUCKET:
+        a, b = np.nonzero(np.triu(near_matrix(prints, distance), 1))
+        if len(a) <= 4 * len(prints):
+            yield from zip(a.tolist(), b.tolist(), strict=True)
+            return
+    left = np.arange(len(prints))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.uint16) <= distance
+            if near.any():
+                found, left = left[near], left[~near]
+                queue.extend(found)
+                yield from ((int(at), int(x)) for x in found)
+
+
+def wide_links(prints: DataFrame, scratch: Scratch, distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> tuple[list[DataFrame], DataFrame]:
+    """prints(node long, keys array<long>, print binary, distinct) -> links (a, b), and the members of buckets of over `bucket`.
+
+    The links connect just what all links within `distance` do that share a key in other buckets; the members
+    (node, bucket, print) are left to a search that deals a bucket out.
+    """
+    large = prints.select(F.explode("keys").alias("bucket")).groupBy("bucket").count().where(F.col("count") > bucket).select("bucket")
+    large = scratch.write(large, "oversize")
+    none = large.isEmpty()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int]]:
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    held = batch.column(0)[at].values
+                    nodes = held.field("node").to_numpy()
+                    words = np.frombuffer(b"".join(held.field("print").to_pylist()), "<u8").reshape(len(nodes), -1)
+                    yield from ((int(nodes[a]), int(nodes[b])) for a, b in wide_forest(words, distance))
+
+        yield from batched(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    most = prints.agg(F.max(F.size("keys"))).first()[0] or 0
+    links = []
+    for at in range(0, most, ROUND):
+        keyed = prints.select("node", "print", F.explode(F.slice("keys", at + 1, ROUND)).alias("bucket"))
+        keyed = keyed if none else keyed.join(large.hint("merge"), "bucket", "left_anti")
+        held = keyed.groupBy("bucket").agg(F.collect_list(F.struct("node", "print")).alias("held")).where(F.size("held") > 1)
+        links.append(scratch.write(held.select("held").mapInArrow(search, "a long, b long").distinct(), f"links{at}"))
+    rest = prints.select("node", "print", F.explode("keys").alias("bucket")).join(large.hint("merge"), "bucket")
+    return links, rest if not none else rest.limit(0)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp): one row per row of docs.
 

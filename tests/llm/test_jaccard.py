@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flatsql.llm import jaccard
+from flatsql.llm import jaccard, simhash
 from flatsql.llm.common import Scratch
 
 
@@ -62,3 +62,56 @@ def test_pairs_of_open_buckets_lose_none(spark, chunk, stars):
 def test_similarity():
     a, b = (np.arange(lo, hi, dtype=np.uint64) for lo, hi in ((0, 9), (1, 10)))
     assert jaccard.similarity(a, b) == 0.8 and list(jaccard.cross_links([7, 8], [7, 8], [a, b], 0.8)) == [(7, 8)]
+
+
+def test_candidates_are_those_of_simhash(spark, monkeypatch):
+    """What the stage drops lies in a component of wide SimHash fingerprints; where these link nothing, nothing is dropped."""
+    docs = spark.createDataFrame(list(enumerate(made(3))), "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert len(left) < docs.count()
+    joined = []
+
+    def nothing(rows, *args):
+        roots = components(rows, *args)
+        joined.extend(r.doc_id for r in rows.join(roots, "node").collect())
+        return roots.limit(0)
+
+    components = jaccard.components
+    monkeypatch.setattr(jaccard, "components", nothing)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == docs.count()
+    assert {n for n in range(docs.count())} - left <= set(joined)
+
+
+@pytest.mark.parametrize("bucket", [8192, 4])
+def test_components_of_wide_fingerprints(spark, bucket):
+    """Also where buckets are over their bound and dealt out: just what links within the distance join, but for keys not shared."""
+    texts = made(4)
+    prints = np.stack([simhash.wide_fingerprint(jaccard.shingles(t)) for t in texts])
+    near = [[int((a != b).sum()) for b in prints] for a in prints]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard._signed(docs, "doc_id", "text", 5).withColumnRenamed("doc_id", "node")
+    got = dict(jaccard.components(rows, Scratch(spark, "test"), bucket=bucket).collect())
+    root = lambda n: got.get(n, n)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near[i][j] <= simhash.WIDE_DISTANCE:
+                x, y = label[i], label[j]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+                if near[i][j] <= 0.1875 * simhash.WIDE:
+                    assert root(i) == root(j)
+    for i in range(len(texts)):
+        assert label[i] == label[root(i)]
+    assert len(got) > 50
+
+
+def test_wide_keys_miss_few():
+    """Sets of 4 and 5 shingles and larger ones at a similarity of 0.8, drawn at random: within the distance, and under a common key."""
+    r = np.random.default_rng(5)
+    assert all(simhash.missed(*simhash.plan(n)) <= simhash.MISS for n in (0, 1000, 250_000, 15_000_000))
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (160, 20, 20)):
+        for _ in range(200):
+            h = r.integers(0, 1 << 63, common + a + b, dtype=np.uint64)
+            prints = np.stack([simhash.wide_fingerprint(h[: common + a]), simhash.wide_fingerprint(np.append(h[:common], h[common + a :]))])
+            x, y = simhash.wide_keys(prints, *simhash.plan(250_000))
+            assert (prints[0] != prints[1]).sum() <= simhash.WIDE_DISTANCE and (x == y).any()
