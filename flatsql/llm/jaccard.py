@@ -212,7 +212,7 @@ def _all_pairs(named: DataFrame, sets: DataFrame, scratch: Scratch, least: float
     return grouped.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(rows: DataFrame, scratch: Scratch, distance: int = simhash.WIDE_DISTANCE, bucket: int = simhash.BUCKET) -> DataFrame:
+def components(rows: DataFrame, scratch: Scratch, distance: int = simhash.WIDE_DISTANCE, bucket: int = simhash.WIDE_BUCKET) -> DataFrame:
     """rows(node long, keys, print) -> (node, root) for every node whose fingerprint links to another's, directly or not."""
     prints = rows.groupBy("print").agg(F.min(F.struct("node", "keys")).alias("first"))
     prints = scratch.write(prints.select("print", "first.node", "first.keys"), "prints")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,13 @@ BUCKET = 8192
 SEED = 42
 #: Bits of wide fingerprints, at how many differing bits they link, and the chance of missing a pair whose bits differ with a chance of DIFFER.
 WIDE, WIDE_DISTANCE, MISS, DIFFER = 512, 135, 3e-5, 0.1875
-PER_BUCKET = 256
-#: Keys in the shuffle at a time.
-ROUND = 16
+#: Bits of a key at least, fingerprints of a bucket about (where keys have more bits), and those of a larger bucket that is dealt out.
+WIDE_BITS, PER_BUCKET, WIDE_BUCKET = 6, 1 << 18, 1 << 20
+#: Within a bucket: fingerprints under an inner key about, those that are compared without such keys, bits of an inner key
+#: at most, and how many pairs that differ in DIFFER of the bits share an inner key at least.
+INNER, WHOLE, INNER_BITS, INNER_FOUND = 32, 512, 15, 0.96
+#: Keys in the shuffle at a time; the first are few, for what they join is not linked again.
+FIRST, ROUND = 4, 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -136,23 +140,52 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return (2 * counts > len(hashes)).astype(np.uint8)
 
 
+def _choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def _shared(apart: int, bits: int, wide: int = WIDE) -> float:
+    """The chance that a choice of so many bits holds none of those in which two fingerprints differ."""
+    return math.exp(_choose(wide - apart, bits) - _choose(wide, bits))
+
+
+@cache
+def _inner_keys(bits: int) -> int:
+    """How many inner keys of so many bits INNER_FOUND asks for."""
+    keys = 1
+    while 1 - (1 - _shared(round(DIFFER * WIDE), bits)) ** keys < INNER_FOUND:
+        keys += 1
+    return keys
+
+
+def inner_plan(members: int) -> tuple[int, int]:
+    """Bits and number of a bucket's inner keys."""
+    bits = 0 if members <= WHOLE else min(INNER_BITS, round(math.log2(members / INNER)))
+    return bits, _inner_keys(bits)
+
+
+@cache
+def _inner_found(apart: int) -> float:
+    """The chance to be compared within a bucket, of whatever size it is."""
+    return min(1 - (1 - _shared(apart, bits)) ** _inner_keys(bits) for bits in range(INNER_BITS + 1))
+
+
 @cache
 def missed(bits: int, keys: int, differ: float = DIFFER, wide: int = WIDE, distance: int = WIDE_DISTANCE) -> float:
-    """The chance that two fingerprints lie over `distance` or share none of so many keys, each a choice of so many bits."""
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    """The chance that two fingerprints lie over `distance` or are compared under none of so many keys, each a choice of so many bits."""
     total = 0.0
     for d in range(wide + 1):
-        chance = math.exp(choose(wide, d) + d * math.log(differ) + (wide - d) * math.log(1 - differ))
-        total += chance * ((1 - math.exp(choose(wide - d, bits) - choose(wide, bits))) ** keys if d <= distance else 1)
+        chance = math.exp(_choose(wide, d) + d * math.log(differ) + (wide - d) * math.log(1 - differ))
+        total += chance * ((1 - _shared(d, bits, wide) * _inner_found(d)) ** keys if d <= distance else 1)
     return total
 
 
 def plan(rows: int) -> tuple[int, int]:
-    """Bits of a key and number of keys for a table of so many rows."""
-    bits = max(4, min(22, round(math.log2(max(rows, 1) / PER_BUCKET))))
+    """Bits of a key and number of keys for a table of so many rows: the same for all up to some 20 million."""
+    bits = max(WIDE_BITS, min(22, round(math.log2(max(rows, 1) / PER_BUCKET))))
     keys = 1
     while missed(bits, keys) > MISS:
-        keys += max(1, keys // 16)
+        keys += 1
     return bits, keys
 
 
@@ -177,53 +210,147 @@ def near_matrix(prints: np.ndarray, distance: int) -> np.ndarray:
     return apart <= distance
 
 
-def wide_forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Pairs of rows that join what all pairs of rows within `distance` join."""
-    if len(prints) <= 2 * PER_BUCKET:
-        a, b = np.nonzero(np.triu(near_matrix(prints, distance), 1))
-        if len(a) <= 4 * len(prints):
-            yield from zip(a.tolist(), b.tolist(), strict=True)
-            return
+def _spanning(prints: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows, one fewer than the labels that they join, which join the labels that all pairs within `distance` join."""
     left = np.arange(len(prints))
     while len(left):
-        queue, left = [left[0]], left[1:]
+        own = label[left] == label[left[0]]
+        queue, left = left[own].tolist(), left[~own]
         while queue and len(left):
             at = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.uint16) <= distance
             if near.any():
-                found, left = left[near], left[~near]
-                queue.extend(found)
-                yield from ((int(at), int(x)) for x in found)
+                met, where = np.unique(label[left[near]], return_index=True)
+                yield from ((at, to) for to in left[near][where].tolist())
+                joined = np.isin(label[left], met)
+                queue.extend(left[joined].tolist())
+                left = left[~joined]
+
+
+def _within(words: np.ndarray, k: int, distance: int) -> np.ndarray:
+    """Which columns lie within `distance` of the column k further on, by the first 5 of 8 words; few others do by these."""
+    parts = [np.bitwise_count(row[:-k] ^ row[k:]) for row in words[:5]]  # three counts fit a byte
+    return np.flatnonzero(np.add(parts[0] + parts[1] + parts[2], sum(parts[3:]), dtype=np.uint16) <= distance)
 
 
-def wide_links(prints: DataFrame, scratch: Scratch, distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> tuple[list[DataFrame], DataFrame]:
+def wide_forest(prints: np.ndarray, distance: int, groups: np.ndarray | None = None, seed: int = 0) -> Iterator[tuple[int, int]]:
+    """Pairs of rows, one fewer than the groups that they join at most; without groups each row is its own.
+
+    The pairs join what all pairs of rows within `distance` join; of over WHOLE rows, all such pairs that share an inner key.
+    """
+    group = np.arange(len(prints)) if groups is None else np.unique(groups, return_inverse=True)[1]
+    parent = np.arange(group.max(initial=-1) + 1)
+    left = len(parent)
+
+    def named(rows: np.ndarray) -> np.ndarray:
+        at = group[rows]
+        while ((up := parent[at]) != at).any():
+            at = up
+        return at
+
+    def top(at: int) -> int:
+        while parent[at] != at:
+            parent[at] = at = parent[parent[at]]
+        return at
+
+    def joined(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        nonlocal left
+        for a, b in pairs:
+            x, y = top(group[a]), top(group[b])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                left -= 1
+                yield a, b
+
+    def together(rows: np.ndarray) -> Iterator[tuple[int, int]]:
+        label = named(rows)
+        if len(rows) <= WHOLE:
+            near = near_matrix(prints[rows], distance) & (label[:, None] < label)
+            found = np.count_nonzero(near)
+            if found <= len(rows):
+                yield from joined(zip(*(rows[x].tolist() for x in np.nonzero(near)), strict=True)) if found else ()
+                return
+        if (label != label[0]).any():
+            yield from joined((int(rows[a]), int(rows[b])) for a, b in _spanning(prints[rows], label, distance))
+
+    bits, keys = inner_plan(len(prints))
+    if not bits:
+        if left > 1:
+            yield from together(np.arange(len(prints)))
+        return
+    random = np.random.default_rng((SEED, seed))
+    for _ in range(keys):
+        if left < 2:
+            return
+        value = np.zeros(len(prints), np.int32)
+        for n, bit in enumerate(random.permutation(WIDE)[:bits].tolist()):
+            value |= (prints[:, bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)).astype(np.int32) << n
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        bounds = np.append(0, np.flatnonzero(np.diff(value)) + 1)
+        sizes = np.diff(np.append(bounds, len(value)))
+        for lo, size in zip(bounds[sizes > WHOLE].tolist(), sizes[sizes > WHOLE].tolist(), strict=True):
+            yield from together(order[lo : lo + size])
+        sizes = np.repeat(np.where(sizes > WHOLE, 0, sizes), sizes)
+        by_size = np.argsort(-sizes, kind="stable")  # so that those under keys of more than k come first
+        order, value, sizes = order[by_size], value[by_size], sizes[by_size]
+        words, label = np.ascontiguousarray(prints[order].T), named(order)
+        ends = np.searchsorted(-sizes, -np.arange(sizes.max()), "left")
+        for k in range(1, len(ends)):  # each row and the one k further on under its key
+            near = _within(words[:, : ends[k]], k, distance)
+            near = near[(value[near] == value[near + k]) & (label[near] != label[near + k])]
+            near = near[np.bitwise_count(words[:, near] ^ words[:, near + k]).sum(axis=0, dtype=np.uint16) <= distance]
+            if len(near):
+                yield from joined(zip(order[near].tolist(), order[near + k].tolist(), strict=True))
+                label = named(order)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bucket, nodes, roots and fingerprints of each bucket of (bucket, node, root, print) in order of buckets."""
+    held: list[tuple] = []
+    last = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, node, root = (batch.column(n).to_numpy() for n in range(3))
+        words = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(len(node), -1)
+        for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]):
+            if held and bucket[lo] != last:
+                yield last, *(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            last = int(bucket[lo])
+            held.append((node[lo:hi], root[lo:hi], words[lo:hi]))
+    if held:
+        yield last, *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def wide_links(prints: DataFrame, scratch: Scratch, distance: int = WIDE_DISTANCE, bucket: int = WIDE_BUCKET) -> tuple[list[DataFrame], DataFrame]:
     """prints(node long, keys array<long>, print binary, distinct) -> links (a, b), and the members of buckets of over `bucket`.
 
-    The links connect just what all links within `distance` do that share a key in other buckets; the members
-    (node, bucket, print) are left to a search that deals a bucket out.
+    The links connect just what all links within `distance` do that share a key in other buckets (in those of over WHOLE
+    fingerprints also an inner key). A bucket gives one link fewer than it joins groups, and what the first keys join is
+    one group to the others, so that links are few however many members of a group meet under however many keys. The
+    members (node, bucket, print) are left to a search that deals a bucket out.
     """
     large = prints.select(F.explode("keys").alias("bucket")).groupBy("bucket").count().where(F.col("count") > bucket).select("bucket")
     large = scratch.write(large, "oversize")
     none = large.isEmpty()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int]]:
-            for batch in batches:
-                for at in range(batch.num_rows):
-                    held = batch.column(0)[at].values
-                    nodes = held.field("node").to_numpy()
-                    words = np.frombuffer(b"".join(held.field("print").to_pylist()), "<u8").reshape(len(nodes), -1)
-                    yield from ((int(nodes[a]), int(nodes[b])) for a, b in wide_forest(words, distance))
-
-        yield from batched(found(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        found = ((int(nodes[a]), int(nodes[b])) for seed, nodes, roots, words in _buckets(batches) if len(nodes) > 1 for a, b in wide_forest(words, distance, roots, seed))
+        yield from batched(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     most = prints.agg(F.max(F.size("keys"))).first()[0] or 0
-    links = []
-    for at in range(0, most, ROUND):
-        keyed = prints.select("node", "print", F.explode(F.slice("keys", at + 1, ROUND)).alias("bucket"))
+    named, links, at = prints.withColumn("root", F.col("node")), [], 0
+    while at < most:
+        size = ROUND if at else FIRST
+        keyed = named.select(F.explode(F.slice("keys", at + 1, size)).alias("bucket"), "node", "root", "print")
         keyed = keyed if none else keyed.join(large.hint("merge"), "bucket", "left_anti")
-        held = keyed.groupBy("bucket").agg(F.collect_list(F.struct("node", "print")).alias("held")).where(F.size("held") > 1)
-        links.append(scratch.write(held.select("held").mapInArrow(search, "a long, b long").distinct(), f"links{at}"))
+        links.append(scratch.write(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(search, "a long, b long"), f"links{at}"))
+        if not at:
+            roots = connected_components(links[0], scratch, "first-cc")
+            named = scratch.write(prints.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keys", "print"), "first-named")
+        at += size
     rest = prints.select("node", "print", F.explode("keys").alias("bucket")).join(large.hint("merge"), "bucket")
     return links, rest if not none else rest.limit(0)
 

@@ -115,3 +115,49 @@ def test_wide_keys_miss_few():
             prints = np.stack([simhash.wide_fingerprint(h[: common + a]), simhash.wide_fingerprint(np.append(h[:common], h[common + a :]))])
             x, y = simhash.wide_keys(prints, *simhash.plan(250_000))
             assert (prints[0] != prints[1]).sum() <= simhash.WIDE_DISTANCE and (x == y).any()
+
+
+def near_prints(seed, members, others, flips):
+    """Fingerprints at random, the first `members` of them one with a few bits changed in each."""
+    r = np.random.default_rng(seed)
+    bits = r.integers(0, 2, (members + others, simhash.WIDE), dtype=np.uint8)
+    bits[:members] = bits[0]
+    for row in bits[:members]:
+        row[r.permutation(simhash.WIDE)[:flips]] ^= 1
+    return bits
+
+
+def test_keys_do_not_grow_with_the_table():
+    """What goes through the shuffle for a document is the same from the smallest table to 30 GB of text."""
+    assert len({simhash.plan(n) for n in (0, 50_000, 250_000, 15_000_000)}) == 1
+
+
+def test_links_are_no_more_than_join(spark):
+    """A group whose members meet under every key gives a spanning forest, not links that grow with its pairs and the keys."""
+    members = 300
+    prints = near_prints(6, members, 100, 6)
+    keys = simhash.wide_keys(prints, *simhash.plan(0))
+    rows = [(n, [int(k) for k in own], np.packbits(x, bitorder="little").tobytes()) for n, (x, own) in enumerate(zip(prints, keys, strict=True))]
+    found, rest = simhash.wide_links(spark.createDataFrame(rows, "node long, keys array<long>, print binary"), Scratch(spark, "test"))
+    links = [tuple(r) for part in found for r in part.collect()]
+    assert {n for pair in links for n in pair} == set(range(members)) and rest.count() == 0
+    assert members - 1 <= len(links) <= simhash.FIRST * (members - 1)
+
+
+@pytest.mark.parametrize("known", [0, 400])
+def test_search_in_a_large_bucket(known):
+    """Of over WHOLE fingerprints, inner keys are shared by those that lie close; what is joined already is not joined again."""
+    members = 700
+    bits = near_prints(7, members, 1300, 20)
+    r = np.random.default_rng(8)
+    for at in range(members, members + 400, 2):  # pairs at the distance that keys are made for, and beyond the bound
+        bits[at + 1] = bits[at]
+        bits[at + 1, r.permutation(simhash.WIDE)[: 96 if at < members + 200 else 140]] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    groups = np.where(np.arange(len(words)) < known, 0, np.arange(len(words)))
+    found = list(simhash.wide_forest(words, simhash.WIDE_DISTANCE, groups, seed=3))
+    assert all((bits[a] != bits[b]).sum() <= simhash.WIDE_DISTANCE for a, b in found)
+    inside = [pair for pair in found if max(pair) < members]
+    assert len(inside) == members - max(known, 1) and {n for pair in inside for n in pair} >= set(range(known, members))
+    pairs = {(min(x), max(x)) for x in found if max(x) >= members}
+    assert pairs <= {(at, at + 1) for at in range(members, members + 200, 2)} and len(pairs) >= 85
